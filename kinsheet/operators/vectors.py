@@ -14,6 +14,7 @@ Encode = Callable[..., np.ndarray]
 VectorProvider = Callable[[DataFrame], DataFrame]
 
 GRAM_SIZE = 3
+SMALL_SCOPE = 256  # names a single cell scores faster than any candidate search
 _CODE_POINT_BITS = 21
 
 
@@ -114,12 +115,18 @@ def gram_prefix_rows(rows: DataFrame, threshold: float) -> DataFrame:
     Grams are ordered from rare to common. Where the weights from some gram onwards no
     longer reach the threshold, no pair can live on those grams alone; so the rarest
     gram two similar names share lies before that point in both. The copies are keyed
-    by ``bucket``; pairs that meet in several buckets are merged after scoring.
+    by ``bucket``; pairs that meet in several buckets are merged after scoring. A scope
+    of few names stays whole in bucket 0.
     """
     need = max(float(threshold) - 1e-6, 0.0)
     keys = ["level", "part", "side", "name"]
+    sizes = rows.groupBy("level", "part").agg(F.count(F.lit(1)).alias("names_in_scope"))
+    sized = rows.join(sizes, ["level", "part"])
+    is_small = F.col("names_in_scope") <= SMALL_SCOPE
+    small = sized.where(is_small).withColumn("bucket", F.lit(0).cast("long"))
+    large = sized.where(~is_small)
     counted = (
-        rows.select(*keys, F.explode("payload").alias("gram"))
+        large.select(*keys, F.explode("payload").alias("gram"))
         .groupBy(*keys, "gram")
         .agg(F.count(F.lit(1)).alias("times"))
     )
@@ -141,7 +148,8 @@ def gram_prefix_rows(rows: DataFrame, threshold: float) -> DataFrame:
         .where(F.col("rest") >= F.lit(need * need) * F.col("whole"))
         .select(*keys, "bucket")
     )
-    return rows.drop("bucket").join(prefix, keys)
+    keyed = large.join(prefix, keys).unionByName(small)
+    return keyed.drop("names_in_scope")
 
 
 def pivot_rows(rows: DataFrame, threshold: float, pivots: Sequence[Sequence[float]]) -> DataFrame:

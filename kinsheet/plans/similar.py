@@ -181,7 +181,7 @@ def _name_rows(placed: DataFrame, scope: Scope) -> DataFrame:
 def _name_pairs(placed, scope, vectors, threshold, top_k, block_rows, pivots) -> DataFrame:
     """Pairs of names at or above the threshold, cut to what any object can use.
 
-    Columns: level, part, a_name, b_name, score, hot.
+    Columns: level, part, a_name, b_name, score, load (rows the left name has to read).
     """
     names = _name_rows(placed, scope)
     sparse = isinstance(vectors, str)
@@ -276,7 +276,8 @@ def _useful(pairs: DataFrame, top_k: int, merge: bool) -> DataFrame:
 
 def _hits(placed, pairs, scope, top_k, range_bits) -> DataFrame:
     """Expand name pairs to the best ``top_k`` objects for every query."""
-    pairs = pairs.withColumn("hot", F.col("load") > F.lit(1 << range_bits))
+    hot = F.col("load") > F.lit(1 << range_bits)
+    pairs = pairs.select("level", "part", "a_name", "b_name", "score", hot.alias("hot"))
     has_hot = not pairs.where("hot").isEmpty()
     by_object = ["group_id", "object_id"]
     if scope.directed:
