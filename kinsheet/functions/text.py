@@ -62,6 +62,11 @@ def strip_spaces(col: Column) -> Column:
     return F.regexp_replace(col, rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
+def has_text(col: Column, besides: str = "") -> Column:
+    """Whether a cell holds anything but spaces; stops at the first such character."""
+    return F.coalesce(col.rlike(f"[^{SPACE[1:-1]}{besides}]"), F.lit(False))
+
+
 def cell_text(df: DataFrame, column: str) -> Column:
     """Text of a raw cell: whole floats lose their fraction, booleans are capitalised."""
     col, kind = F.col(column), df.schema[column].dataType

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinsheet.functions.scoring import NORM_FLOOR, THRESHOLD_TOLERANCE
@@ -18,6 +18,7 @@ from kinsheet.functions.scoring import NORM_FLOOR, THRESHOLD_TOLERANCE
 BLOCK_ROWS = 2048
 _STRIPES_WANTED = 128  # large scopes grow their stripes up to _MAX_GROWTH before adding more
 _MAX_GROWTH = 16
+_STRIPE_VALUES = 1 << 23  # vector entries per stripe, whatever its row count
 _PRODUCT_CELLS = 1 << 22  # scores held at a time, 32 MB of doubles
 _GRAM_COLUMNS = 1024
 _SCORE_DIGITS = 12
@@ -54,18 +55,22 @@ def score_names(
 def _cells(rows: DataFrame, two_sided: bool, block_rows: int, sparse: bool) -> DataFrame:
     growth = 1 if sparse else _MAX_GROWTH
 
-    def stripes(count):
-        size = F.greatest(F.lit(block_rows), F.ceil(count / _STRIPES_WANTED))
-        return F.ceil(count / F.least(size, F.lit(block_rows * growth))).cast("int")
+    def stripes(count: str, values: str) -> Column:
+        size = F.greatest(F.lit(block_rows), F.ceil(F.col(count) / _STRIPES_WANTED))
+        by_rows = F.ceil(F.col(count) / F.least(size, F.lit(block_rows * growth)))
+        by_values = F.ceil(F.col(values) / _STRIPE_VALUES)
+        return F.greatest(by_rows, by_values).cast("int")
 
+    width = F.size("payload").cast("long")
     sizes = rows.groupBy(*SCOPE).agg(
-        F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1")
+        *[F.count_if(F.col("side") == s).alias(f"n{s}") for s in (0, 1)],
+        *[F.sum(F.when(F.col("side") == s, width)).alias(f"v{s}") for s in (0, 1)],
     )
     if two_sided:
         sizes = sizes.where((F.col("n0") > 0) & (F.col("n1") > 0))
     else:
         sizes = sizes.where(F.col("n0") > 1)
-    sizes = sizes.select(*SCOPE, stripes(F.col("n0")).alias("g0"), stripes(F.col("n1")).alias("g1"))
+    sizes = sizes.select(*SCOPE, stripes("n0", "v0").alias("g0"), stripes("n1", "v1").alias("g1"))
     left = F.col("side") == 0
     if two_sided:
         own = F.when(left, F.col("g0")).otherwise(F.col("g1"))
@@ -79,7 +84,7 @@ def _cells(rows: DataFrame, two_sided: bool, block_rows: int, sparse: bool) -> D
         F.collect_list(F.struct("name", "payload", *STATS)).alias("items")
     )
 
-    def cell(y):
+    def cell(y: Column) -> Column:
         if two_sided:
             return F.struct(
                 F.when(left, F.col("stripe")).otherwise(y).alias("x"),

@@ -10,16 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinsheet.functions.text import (
+    BOM,
     cell_text,
     display_name,
+    has_text,
     normalized_serial,
     outline_level,
-    record_cell,
 )
 from kinsheet.schemas import HEADER_SCAN_ROWS, SHEET_HEADER, TOTAL_MARK
 
-CHUNK_BITS = 16  # a chunk is 2**CHUNK_BITS consecutive row numbers
+CHUNK_BITS = 14  # a chunk is 2**CHUNK_BITS consecutive row numbers
 MARKERS = ("platform", "system", "software")
+CHUNK = ["source_id", "chunk"]
 
 
 def _is_header(df: DataFrame) -> Column:
@@ -45,8 +47,7 @@ def classified_rows(sheets: DataFrame) -> DataFrame:
     """
     raw = sheets.where(F.col("source_id").isNotNull() & F.col("row_number").isNotNull())
     raw = raw.where(
-        (record_cell(cell_text(sheets, "serial")) != "")
-        | (display_name(cell_text(sheets, "name")) != "")
+        has_text(cell_text(sheets, "serial")) | has_text(cell_text(sheets, "name"), besides=BOM)
     )
     cleaned = raw.select(
         "source_id",
@@ -76,14 +77,36 @@ def with_state(rows: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     """Add current platform/system/software and running counts to classified rows."""
     if 1 << chunk_bits <= HEADER_SCAN_ROWS:
         raise ValueError(f"chunks must exceed {HEADER_SCAN_ROWS} rows, so a header stays in chunk 0")
-    chunk_keys = ["source_id", "chunk"]
+    local = _within_chunks(rows, chunk_bits)
+    carried = _into_chunks(local)
+    joined = local.join(carried, CHUNK).where(
+        F.col("source_header").isNotNull() & ~F.col("level").isin("header", "total")
+    )
+    counts = [(F.col(f"n_{m}") + F.col(f"c_{m}")).alias(f"n_{m}") for m in MARKERS]
+    current = [F.coalesce(f"at_{m}", f"from_{m}").alias(f"at_{m}") for m in MARKERS]
+    modules = F.col("n_module") + F.when(F.col("open_ok"), F.col("n_open")).otherwise(0)
+    return _with_paths(
+        joined.select(
+            "source_id",
+            "row_number",
+            "serial",
+            "name",
+            "level",
+            *counts,
+            *current,
+            (modules + F.col("c_module")).alias("n_module"),
+        )
+    )
+
+
+def _within_chunks(rows: DataFrame, chunk_bits: int) -> DataFrame:
+    """Running state of each row as far as its own chunk knows it."""
     running = (
-        Window.partitionBy(*chunk_keys)
+        Window.partitionBy(*CHUNK)
         .orderBy("row_number")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     level = F.col("level")
-
     # The explicit null test keeps both uses of these rows identical below the shuffle,
     # so the summaries reuse the exchange of the rows themselves.
     chunked = rows.withColumn("chunk", F.shiftright("row_number", chunk_bits))
@@ -97,8 +120,8 @@ def with_state(rows: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
         F.when(F.col("row_number") == F.col("header_row"), "header").otherwise(level),
     )
     marker = F.struct(F.col("row_number").alias("row"), F.col("name").alias("name"))
-    local = headed.select(
-        *chunk_keys,
+    marked = headed.select(
+        *CHUNK,
         "row_number",
         "serial",
         "name",
@@ -110,60 +133,44 @@ def with_state(rows: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFrame:
     at = [F.col(f"at_{m}") for m in MARKERS]
     is_module = level == "module"
     no_marker_yet = at[0].isNull() & at[1].isNull() & at[2].isNull()
-    local = local.withColumn(
-        "n_module", F.sum((is_module & _software_is_current(*at)).cast("long")).over(running)
-    ).withColumn("n_open", F.sum((is_module & no_marker_yet).cast("long")).over(running))
+    flagged = marked.withColumn("placed", is_module & _software_is_current(*at)).withColumn(
+        "open", is_module & no_marker_yet
+    )
+    return flagged.select(
+        *marked.columns,
+        F.sum(F.col("placed").cast("long")).over(running).alias("n_module"),
+        F.sum(F.col("open").cast("long")).over(running).alias("n_open"),
+    )
 
-    totals = local.groupBy(*chunk_keys).agg(
-        F.min("header_row").alias("header_row"),
-        *[
-            F.max(c).alias(c)
-            for c in [*(f"n_{m}" for m in MARKERS), *(f"at_{m}" for m in MARKERS)]
-        ],
-        F.max("n_module").alias("n_module"),
-        F.max("n_open").alias("n_open"),
+
+def _into_chunks(local: DataFrame) -> DataFrame:
+    """State that each chunk starts from: one row per chunk."""
+    running = [*(f"n_{m}" for m in MARKERS), *(f"at_{m}" for m in MARKERS), "n_module", "n_open"]
+    totals = local.groupBy(*CHUNK).agg(
+        F.min("header_row").alias("header_row"), *[F.max(c).alias(c) for c in running]
     )
     earlier = Window.partitionBy("source_id").orderBy("chunk")
     earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
-        *chunk_keys,
+        *CHUNK,
         F.min("header_row").over(Window.partitionBy("source_id")).alias("source_header"),
         "n_module",
         "n_open",
         *[F.coalesce(F.sum(f"n_{m}").over(earlier), F.lit(0)).alias(f"c_{m}") for m in MARKERS],
         *[F.max(f"at_{m}").over(earlier).alias(f"from_{m}") for m in MARKERS],
     )
-    # Modules met before any marker of their chunk belong to the carried software, if there is one.
-    carried_open = _software_is_current(*[F.col(f"from_{m}") for m in MARKERS])
-    modules = F.col("n_module") + F.when(carried_open, F.col("n_open")).otherwise(0)
-    carried = carried.select(
-        *chunk_keys,
+    # Modules met before any marker of their chunk belong to the carried software, if any.
+    open_ok = _software_is_current(*[F.col(f"from_{m}") for m in MARKERS])
+    modules = F.col("n_module") + F.when(open_ok, F.col("n_open")).otherwise(0)
+    return carried.select(
+        *CHUNK,
         "source_header",
         *[f"c_{m}" for m in MARKERS],
         *[f"from_{m}" for m in MARKERS],
-        carried_open.alias("open_ok"),
+        open_ok.alias("open_ok"),
         F.coalesce(F.sum(modules).over(earlier), F.lit(0)).alias("c_module"),
     )
 
-    joined = local.join(carried, chunk_keys).where(
-        F.col("source_header").isNotNull() & ~level.isin("header", "total")
-    )
-    joined = joined.select(
-        "source_id",
-        "row_number",
-        "serial",
-        "name",
-        "level",
-        *[(F.col(f"n_{m}") + F.col(f"c_{m}")).alias(f"n_{m}") for m in MARKERS],
-        *[F.coalesce(f"at_{m}", f"from_{m}").alias(f"at_{m}") for m in MARKERS],
-        (
-            F.col("n_module")
-            + F.when(F.col("open_ok"), F.col("n_open")).otherwise(0)
-            + F.col("c_module")
-        ).alias("n_module"),
-    )
-    return _with_paths(joined)
-
 
 def _with_paths(rows: DataFrame) -> DataFrame:
     platform, system, software = (F.col(f"at_{m}") for m in MARKERS)

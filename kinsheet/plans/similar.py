@@ -118,13 +118,15 @@ def _placed(objects: DataFrame, scope: Scope) -> DataFrame:
         "level", "group_id", "object_id", "obj_seq", F.col("norm_name").alias("name")
     )
     if scope.mode == "within":
-        return base.select("*", F.col("group_id").alias("part"), zero.alias("p1"), F.col("obj_seq").alias("p2"))
+        part = F.col("group_id")
+        return base.select("*", part.alias("part"), zero.alias("p1"), F.col("obj_seq").alias("p2"))
     if scope.directed:
         p1 = (F.col("group_id") != scope.anchor).cast("long")
         return base.select("*", none.alias("part"), p1.alias("p1"), zero.alias("p2"))
     ordered = base.join(group_order(objects), ["level", "group_id"])
-    p2 = zero if scope.mode == "cross" else F.col("obj_seq")
-    return ordered.select(*base.columns, none.alias("part"), F.col("group_pos").alias("p1"), p2.alias("p2"))
+    group_pos = F.col("group_pos")
+    p1, p2 = (zero, group_pos) if scope.mode == "cross" else (group_pos, F.col("obj_seq"))
+    return ordered.select(*base.columns, none.alias("part"), p1.alias("p1"), p2.alias("p2"))
 
 
 def _name_rows(placed: DataFrame, scope: Scope) -> DataFrame:
@@ -316,18 +318,20 @@ def _first_objects(placed: DataFrame, key: list[str], top_k: int) -> DataFrame:
 def _described(objects, hits, scope, include_unmatched) -> DataFrame:
     """Attach both paths after the cut; objects without a hit come along when asked for."""
     path = F.struct(*RECORD_COLUMNS)
-    key = ["level", "group_id", "object_id"]
     a_side = objects.where(F.col("group_id") == scope.anchor) if scope.directed else objects
     if scope.directed:
         on = ["level", "a_name"]
-        a_side = a_side.withColumn("a_name", F.col("norm_name"))
     elif scope.mode == "cross":
         on = ["level", "a_name", "a_group"]
-        a_side = a_side.withColumn("a_name", F.col("norm_name")).withColumn("a_group", F.col("group_id"))
     else:
         on = ["level", "a_group", "a_object"]
-        a_side = a_side.withColumn("a_group", F.col("group_id")).withColumn("a_object", F.col("object_id"))
-    a_side = a_side.select(*on, path.alias("a"), F.col("norm_name").alias("name_of_a"))
+    a_side = a_side.select(
+        "level",
+        F.col("norm_name").alias("a_name"),
+        F.col("group_id").alias("a_group"),
+        F.col("object_id").alias("a_object"),
+        path.alias("a"),
+    ).select(*on, "a", F.col("a_name").alias("name_of_a"))
     b_side = objects.select(
         "level",
         F.col("group_id").alias("b_group"),
