@@ -217,8 +217,9 @@ def _name_pairs(placed, scope, vectors, threshold, top_k, block_rows, pivots) ->
         sparse=sparse,
         block_rows=block_rows,
     )
-    pairs = scored.unionByName(_self_pairs(rows, scope, self_score, threshold))
-    return _useful(pairs, top_k, merge)
+    if not scope.directed:  # with two sides, equal names already meet as left and right
+        scored = scored.unionByName(_self_pairs(rows, self_score, threshold))
+    return _useful(scored, top_k, merge)
 
 
 def _later(lo1: str, lo2: str, hi1: str, hi2: str) -> Column:
@@ -226,16 +227,9 @@ def _later(lo1: str, lo2: str, hi1: str, hi2: str) -> Column:
     return (a1 < b1) | ((a1 == b1) & (a2 < b2))
 
 
-def _self_pairs(rows: DataFrame, scope: Scope, score: Column, threshold: float) -> DataFrame:
-    """A name paired with itself, where it has objects on both sides of a pair."""
-    if scope.directed:
-        left = rows.where(F.col("side") == 0)
-        right = rows.where(F.col("side") == 1).select(*NAME_KEY, F.col("n_c").alias("b_n"))
-        twice = left.drop("n_c").join(right, NAME_KEY).withColumnRenamed("b_n", "n_c")
-        alive = F.lit(True)
-    else:
-        twice = rows.where(_later("q_lo1", "q_lo2", "c_hi1", "c_hi2"))
-        alive = F.lit(False)  # nothing of a name comes after its own last object
+def _self_pairs(rows: DataFrame, score: Column, threshold: float) -> DataFrame:
+    """A name paired with itself, where it has objects at two positions."""
+    twice = rows.where(_later("q_lo1", "q_lo2", "c_hi1", "c_hi2"))
     return twice.select(
         "level",
         "part",
@@ -244,7 +238,7 @@ def _self_pairs(rows: DataFrame, scope: Scope, score: Column, threshold: float)
         score.alias("score"),
         "n_q",
         "n_c",
-        alive.alias("alive"),
+        F.lit(False).alias("alive"),  # nothing of a name comes after its own last object
     ).where(reaches(F.col("score"), threshold))
 
 
