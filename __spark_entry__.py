@@ -22,7 +22,7 @@ from kinsheet.plans.flatten import flatten_hierarchy  # noqa: E402
 from kinsheet.plans.report import result_table, snapshot  # noqa: E402
 from kinsheet.plans.similar import find_similar, similarity_job  # noqa: E402
 from kinsheet.schemas import RECORD_COLUMNS, RECORD_HEADERS  # noqa: E402
-from kinsheet.session import materialize  # noqa: E402
+from kinsheet.session import scratch_folder  # noqa: E402
 from kinsheet.sources.records import (  # noqa: E402
     combine_records,
     missing_entities,
@@ -195,27 +195,31 @@ def _combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine_records(tables, check=False)
 
 
-def _scratch(spark: SparkSession) -> str:
-    materialize(spark.range(1))  # makes sure the session has its checkpoint folder
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
-
-
 def _stored_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flatten, store, read back with all checks."""
-    path = _scratch(spark)
+    path = f"{scratch_folder(spark)}/{uuid.uuid4()}"
     flat = flatten_hierarchy(B.sheets(spark, sf_dir, lead=False))
     write_flattened(flat, path)
     return read_records(spark, [path])
 
 
 def _stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark)
+    path = f"{scratch_folder(spark)}/{uuid.uuid4()}"
     options = {"mode": "within", "threshold": 0.9, "top_k": 2}
     results, objects = similarity_job(B.records(spark, sf_dir, many=True), **options)
     write_similarity(results, objects, run_options(model="grams", **options), path)
     return spark.read.parquet(f"{path}/similarity_results")
 
 
+def _run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects per level and the number of results they give."""
+    records = B.records(spark, sf_dir, many=True)
+    results, objects = similarity_job(records, threshold=0.9, top_k=1)
+    counted = objects.groupBy(F.col("level").alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    found = results.agg(F.count(F.lit(1)).alias("n")).withColumn("what", F.lit("results"))
+    return counted.unionByName(found)
+
+
 def _vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column form of the score: every vector against the first one of its label."""
     rows = B.table(spark, sf_dir, "embeddings").select(
@@ -268,6 +272,7 @@ def queries() -> dict[str, Query]:
         "sim_result_table": _sheet_job(mode="within"),
         "sim_result_table_directed": _sheet_job_directed,
         "stored_results": _stored_results,
+        "run_counts": _run_counts,
         "sheet_header": lambda s, d: header_rows(B.sheets(s, d, many=True)),
         "sheet_classify": _sheet_classify,
         "sheet_filter": _sheet_filter,
@@ -343,6 +348,8 @@ WHERE module_id <> '' AND (platform_id = '' OR system_id = '' OR software_id = '
             nation_scope, anchor, 0.75, 3
         ),
         "stored_results": O.sheet_result_table(sheet_scope, "rnk IS NOT NULL", 0.9, 2),
+        "run_counts": f"WITH {O.sheet_matches(sheet_scope, 0.9, 1)} SELECT level AS what, "
+        "count(*) AS n FROM objects GROUP BY level UNION ALL SELECT 'results', count(*) FROM ranked",
         "sheet_header": f"{O.outline_sql(True, True)} SELECT source_id, header_row FROM headers",
         "sheet_classify": f"{O.outline_sql(False, True)} "
         "SELECT source_id, row_number, serial, name, level FROM levelled",

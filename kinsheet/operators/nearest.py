@@ -9,7 +9,9 @@ combined from the back and handed to the earlier ranges as extra candidates.
 from bisect import insort
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,9 @@ FOUND_SCHEMA = (
     "rank int, score double, b_group string, b_object string, b_name string"
 )
 _ROW_COLUMNS = [*KEY, "p1", "p2", "kind", "score", "group_id", "object_id", "b_name"]
+_READ_COLUMNS = ["kind", "score", "group_id", "object_id", "b_name"]
+_QUERY_COLUMNS = ["level", "part", "a_name", "group_id", "object_id"]
+_FOUND_COLUMNS = [field.split()[0] for field in FOUND_SCHEMA.split(", ")]
 
 
 def best_later(
@@ -104,35 +109,64 @@ def _scan(candidates: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
 
 
 def _reader(top_k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = [field.split()[0] for field in FOUND_SCHEMA.split(", ")]
-    types = [
-        {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[field.split()[1]]
-        for field in FOUND_SCHEMA.split(", ")
-    ]
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, best = None, []
+        last_key, best, held = None, [], None
         for batch in batches:
-            found = []
-            columns = [batch.column(c).to_pylist() for c in _ROW_COLUMNS]
-            for level, part, name, r1, r2, _, _, kind, score, group, obj, b_name in zip(*columns):
-                row_key = (level, part, name, r1, r2)
-                if row_key != key:
-                    key, best = row_key, []
+            if not batch.num_rows:
+                continue
+            first_key = [batch.column(c)[0].as_py() for c in KEY]
+            starts = _key_starts(batch)
+            starts[0] = first_key != last_key
+            last_key = [batch.column(c)[batch.num_rows - 1].as_py() for c in KEY]
+            asked, sizes = [], []
+            scores, groups, ids, names = [], [], [], []
+            columns = [batch.column(c).to_pylist() for c in _READ_COLUMNS]
+            for i, (start, kind, score, group, object_id, name) in enumerate(zip(starts, *columns)):
+                if start:
+                    best, held = [], None
                 if kind == 0:
-                    for rank, (minus, b_group, b_object, b) in enumerate(best, 1):
-                        found.append(
-                            (level, part, name, group, obj, rank, -minus, b_group, b_object, b)
-                        )
+                    if not best:
+                        continue
+                    if held is None:  # unpacked once per change of the best, not per query
+                        minus, *rest = zip(*best)
+                        held = ([-m for m in minus], *rest)
+                    asked.append(i)
+                    sizes.append(len(best))
+                    scores.extend(held[0])
+                    groups.extend(held[1])
+                    ids.extend(held[2])
+                    names.extend(held[3])
                     continue
-                entry = (-score, group, obj, b_name)
-                if len(best) < top_k:
-                    insort(best, entry)
-                elif entry < best[-1]:
+                entry = (-score, group, object_id, name)
+                if len(best) == top_k:
+                    if entry > best[-1]:
+                        continue
                     best.pop()
-                    insort(best, entry)
-            if found:
-                arrays = [pa.array(c, type=t) for c, t in zip(zip(*found), types)]
-                yield pa.RecordBatch.from_arrays(arrays, names)
+                insort(best, entry)
+                held = None
+            if not asked:
+                continue
+            sizes = np.array(sizes)
+            query = pa.array(np.repeat(asked, sizes))
+            ends = np.cumsum(sizes)
+            ranks = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c).take(query) for c in _QUERY_COLUMNS],
+                    pa.array(ranks, type=pa.int32()),
+                    pa.array(scores, type=pa.float64()),
+                    *[pa.array(c, type=pa.string()) for c in (groups, ids, names)],
+                ],
+                _FOUND_COLUMNS,
+            )
 
     return read
+
+
+def _key_starts(batch: pa.RecordBatch) -> list[bool]:
+    starts = np.zeros(batch.num_rows, dtype=bool)
+    for c in KEY:
+        column = batch.column(c)
+        changed = pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1))
+        starts[1:] |= changed.to_numpy(zero_copy_only=False)
+    return starts.tolist()

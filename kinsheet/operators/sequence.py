@@ -9,17 +9,14 @@ _ROW_BITS = 33  # monotonically_increasing_id keeps the partition above, the row
 
 
 def with_sequence(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
-    """Range-sort ``df`` by ``order`` and number its rows.
+    """Number the rows of ``df`` by ``order``: a range sort, then an offset per partition.
 
-    The sorted rows are materialised once, so the counting pass and the numbering
-    pass see the same partitions even when tasks are retried. The offsets table has
-    one row per partition, which bounds both its window and its broadcast.
+    Rows are stored once together with their place in the sort, so counting and numbering
+    see the same partitions even when tasks are retried. The offsets table has one row per
+    partition of the sort, which bounds both its window and its broadcast.
     """
-    ranged = materialize(df.orderBy(*order))
-    position = F.monotonically_increasing_id()
-    tagged = ranged.withColumn("_position", position).withColumn(
-        "_slice", F.shiftright("_position", _ROW_BITS)
-    )
+    placed = df.orderBy(*order).withColumn("_position", F.monotonically_increasing_id())
+    tagged = materialize(placed).withColumn("_slice", F.shiftright("_position", _ROW_BITS))
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         tagged.groupBy("_slice")

@@ -77,7 +77,8 @@ def find_similar(
     pairs = materialize(
         _name_pairs(placed, scope, vectors, threshold, top_k, block_rows, pivots)
     )
-    hits = _hits(placed, pairs, scope, top_k, range_bits)
+    # Stored while narrow: sorting, counting and writing the results all start from here.
+    hits = materialize(_hits(placed, pairs, scope, top_k, range_bits))
     return _described(chosen, hits, scope, include_unmatched)
 
 

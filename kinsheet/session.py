@@ -1,17 +1,14 @@
 """Session helpers: durable cut points and path checks."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage in the reliable checkpoint folder.
-
-    The folder is the cluster's ``spark.checkpoint.dir``. Only a local session
-    that names none gets a temporary one.
-    """
-    sc = df.sparkSession.sparkContext
+def scratch_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; only a local session without one gets its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -19,7 +16,19 @@ def materialize(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="kinsheet-checkpoint-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage: a table in the shared checkpoint folder.
+
+    A columnar table, unlike ``checkpoint()``, lets each later use read only the columns
+    it needs, and gives the planner true sizes.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
