@@ -254,7 +254,30 @@ def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot(B.sheet_objects(spark, sf_dir))
 
 
+def _optional() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the training-data operators, if their subpackage is there."""
+    try:
+        from kinsheet.llm import queries as llm
+        import corpus_pipeline as pipeline
+    except ModuleNotFoundError as missing:
+        if missing.name not in ("kinsheet.llm", "corpus_pipeline"):
+            raise
+        return {}, {}
+    sql = llm.oracle_sql()
+    if pipeline.ORACLE_SQL is not None:
+        sql["pipeline"] = pipeline.ORACLE_SQL
+    return {**llm.queries(), "pipeline": pipeline.run}, sql
+
+
 def queries() -> dict[str, Query]:
+    return {**base_queries(), **_optional()[0]}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {**base_sql(), **_optional()[1]}
+
+
+def base_queries() -> dict[str, Query]:
     return {
         "sim_within": _vectors(mode="within"),
         "sim_cross": _vectors(mode="cross"),
@@ -297,7 +320,7 @@ def queries() -> dict[str, Query]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
+def base_sql() -> dict[str, str]:
     vector = {"threshold": 0.3, "top_k": 3}
     to_targets = O.directed(ANCHOR, TARGETS)
     cross = O.vector_query(O.CROSS, **vector)

@@ -32,10 +32,10 @@ def comparable(rows):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.base_queries()) == set(entry.base_sql())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.base_queries()))
 def test_query_equals_sql(spark, database, name):
     df = entry.queries()[name](spark, SF_DIR)
     columns = sorted(df.columns)
