@@ -2,11 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsheet.llm import simhash
+from kinsheet.llm import mix, simhash, tokens
 from kinsheet.llm.common import read_table
+from kinsheet.session import scratch_folder
+
+
+SEED = 20
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_folder(spark)}/tokens-{uuid.uuid4()}"
+    tokens.write_tokens(read_table(spark, sf_dir, "documents"), path, tokenizer_file(), end_id=2)
+    shards = spark.read.parquet(path)
+    return tokens.document_index(shards).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix.Mix(read_table(spark, sf_dir, "documents"), SEED).taken()
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +42,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_token_files": op1_token_files,
+        "op4_mix": op4_mix,
         "op6_simhash": op6_simhash,
     }
 
