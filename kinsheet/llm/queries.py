@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsheet.llm import mix, simhash, tokens
+from kinsheet.llm import decontaminate, langid, mix, simhash, tokens
 from kinsheet.llm.common import read_table
 from kinsheet.session import scratch_folder
 
@@ -28,11 +28,25 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.document_index(shards).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    )
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix.Mix(read_table(spark, sf_dir, "documents"), SEED).taken()
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select(
@@ -43,7 +57,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
+        "op2_decontamination": op2_decontamination,
         "op4_mix": op4_mix,
+        "op5_language": op5_language,
         "op6_simhash": op6_simhash,
     }
 
