@@ -62,6 +62,10 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
 
 
+def _strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 class WordEncoder:
     """Ids of white-space separated words, remembered between batches.
 
@@ -91,7 +95,7 @@ class WordEncoder:
     def _learn(self, words: pa.Array) -> None:
         plain = self._plain(words)
         known = self.pieces
-        latin = words.filter(pa.array(plain)).to_pylist()
+        latin = _strings(words.filter(pa.array(plain)))
         cut = list(map(LATIN_PIECES.findall, map(str.lower, latin)))
         new = list(set(chain.from_iterable(cut)).difference(known))
         if new:
@@ -103,18 +107,20 @@ class WordEncoder:
             known.update(zip(new, map(ids.__getitem__, map(slice, [0, *ends], ends))))
         find = known.__getitem__
         self.words.update(zip(latin, (b"".join(map(find, ps)) for ps in cut)))
-        rest = words.filter(pa.array(~plain)).to_pylist()
+        rest = _strings(words.filter(pa.array(~plain)))
         for w, coded in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
             self.words[w] = np.array(coded.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids of each text."""
-        flat, counts = common.split_words(texts)
+        # Case folding makes fewer distinct words. It could make a marker string of another one.
+        marked = [pc.any(pc.match_substring(texts, m, ignore_case=True)).as_py() for m in self.markers]
+        flat, counts = common.split_words(texts if any(marked) else pc.ascii_lower(texts))
         coded = flat.dictionary_encode()
         for held in (self.words, self.pieces):
             if len(held) > REMEMBERED:
                 held.clear()
-        distinct = coded.dictionary.to_pylist()
+        distinct = _strings(coded.dictionary)
         held = self.words
         self._learn(coded.dictionary.filter(pa.array([w not in held for w in distinct], pa.bool_())))
         parts = list(map(held.__getitem__, distinct))
