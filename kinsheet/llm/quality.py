@@ -23,6 +23,7 @@ RULES = [
     ("n_words", 80, 200_000, 50, 1_000_000),
     ("mean_word", 3.0, 10.0, 2.0, 14.0),
     ("symbols_a_word", 0.0, 0.02, 0.0, 0.1),
+    ("symbol_runs_a_word", 0.0, 0.005, 0.0, 0.05),
     ("dup_line_share", 0.0, 0.1, 0.0, 0.3),
     ("repeated_share", 0.0, 0.15, 0.0, 0.4),
     ("letter_words", 0.9, 1.0, 0.7, 1.0),
@@ -30,8 +31,8 @@ RULES = [
     ("distinct_share", 0.2, 1.0, 0.1, 1.0),
     ("upper_share", 0.0, 0.25, 0.0, 0.4),
 ]
-#: Rules are taken to be right at least half of the time, and never to be sure.
-ACCURACY = (0.5, 0.99)
+#: Votes added to each count, and the range of the share of good texts.
+SMOOTH = 1.0
 PRIOR = (0.02, 0.98)
 ROUNDS, CLOSE = 200, 1e-9
 
@@ -96,6 +97,7 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     found |= {
         "mean_word": found["word_chars"] / a_word,
         "symbols_a_word": found["n_symbols"] / a_word,
+        "symbol_runs_a_word": count(SYMBOLS + "{3}") / a_word,
         "dup_line_share": found["n_dup_lines"] / a_line,
         "repeated_share": found["n_repeat_words"] / a_word,
         "letter_words": np.bincount(owner, weights=lettered, minlength=n) / a_word,
@@ -128,19 +130,22 @@ def _unpack(pattern: np.ndarray) -> np.ndarray:
 def fit_votes(given: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Posterior probability that a text with each row of votes is good.
 
-    Expectation-maximisation from the majority vote. A rule that votes is right with its own
-    accuracy, whatever the text; abstaining says nothing. Both are estimated with the share
-    of good texts.
+    Expectation-maximisation over the votes' tables of accuracy: how often each rule keeps,
+    abstains and drops, given a good and given a bad text, and the share of good texts. It
+    starts from the number of drop votes. A rule whose vote would speak for the other class
+    is given the same chances in both, so that good stays what the rules call good.
     """
-    good = 1 / (1 + np.exp(-given.sum(axis=1).astype(float)))
-    total = count.sum()
+    cast = np.stack([given == v for v in (-1, 0, 1)], axis=2).astype(float)
+    good = 1 / (1 + np.exp(3.0 * (given < 0).sum(axis=1) - 2.0))
     for _ in range(ROUNDS):
-        right = np.where(given > 0, good[:, None], np.where(given < 0, 1 - good[:, None], 0))
-        cast = ((given != 0) * count[:, None]).sum(axis=0)
-        accuracy = ((right * count[:, None]).sum(axis=0) + 1) / (cast + 2)
-        accuracy = np.clip(accuracy, *ACCURACY)
-        prior = float(np.clip((good * count).sum() / max(total, 1), *PRIOR))
-        odds = np.log(prior / (1 - prior)) + given @ np.log(accuracy / (1 - accuracy))
+        chance = []
+        for weight in (good * count, (1 - good) * count):
+            seen = np.einsum("p,prv->rv", weight, cast) + SMOOTH
+            chance.append(seen / seen.sum(axis=1, keepdims=True))
+        told = np.log(chance[0] / chance[1])
+        told[:, 0], told[:, 2] = np.minimum(told[:, 0], 0), np.maximum(told[:, 2], 0)
+        prior = float(np.clip((good * count).sum() / max(count.sum(), 1), *PRIOR))
+        odds = np.log(prior / (1 - prior)) + np.einsum("rv,prv->p", told, cast)
         new = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         if np.abs(new - good).max(initial=0) < CLOSE:
             return new

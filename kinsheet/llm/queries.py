@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsheet.llm import decontaminate, langid, mix, simhash, tokens
+from kinsheet.llm import decontaminate, langid, mix, quality, simhash, tokens
 from kinsheet.llm.common import read_table
 from kinsheet.session import scratch_folder
 
@@ -54,6 +54,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *quality.BASE, "base_failed", "kept", "quality")
+
+
 def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
@@ -61,6 +66,7 @@ def queries() -> dict:
         "op4_mix": op4_mix,
         "op5_language": op5_language,
         "op6_simhash": op6_simhash,
+        "op8_quality": op8_quality,
     }
 
 
