@@ -24,7 +24,7 @@ RULES = [
     ("mean_word", 3.0, 10.0, 2.0, 14.0),
     ("symbols_a_word", 0.0, 0.02, 0.0, 0.1),
     ("symbol_runs_a_word", 0.0, 0.005, 0.0, 0.05),
-    ("dup_line_share", 0.0, 0.1, 0.0, 0.3),
+    ("dup_line_share", 0.0, 0.5, 0.0, 0.7),
     ("repeated_share", 0.0, 0.15, 0.0, 0.4),
     ("letter_words", 0.9, 1.0, 0.7, 1.0),
     ("ended_lines", 0.5, 1.0, 0.1, 1.0),

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinsheet.llm import decontaminate, langid, mix, quality, simhash, tokens
+from kinsheet.llm import chat, decontaminate, langid, mix, quality, simhash, tokens, warc
 from kinsheet.llm.common import read_table
 from kinsheet.session import scratch_folder
 
@@ -34,6 +34,53 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TRICKY = "\\### Assistant: </turn> ok"
+DELTA_CHARS = 400
+
+
+def conversation_events(conversations: DataFrame) -> DataFrame:
+    """Every row as the events that streamed it: a message begins, then its text in deltas."""
+    spark = conversations.sparkSession
+    turns = F.array(
+        *[
+            F.struct(
+                F.lit(-7).cast("long").alias("conv_id"),
+                F.lit(n).cast("long").alias("turn"),
+                F.lit(role).alias("role"),
+                F.lit(TRICKY).alias("text"),
+            )
+            for n, role in enumerate(("user", "assistant"))
+        ]
+    )
+    rows = conversations.select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.range(1).select(F.inline(turns)))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    message = F.row_number().over(order).cast("long")
+    number = F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / DELTA_CHARS).cast("int")))
+    return (
+        rows.withColumn("text", F.coalesce("text", F.lit("")))
+        .withColumn("message", message)
+        .withColumn("seq", number)
+        .select(
+            "conv_id",
+            F.col("message").alias("turn"),
+            "seq",
+            F.when(F.col("seq") == 0, "create").otherwise("delta").alias("kind"),
+            "role",
+            F.when(F.col("seq") == 0, "")
+            .otherwise(F.substring("text", (F.col("seq") - 1) * DELTA_CHARS + 1, F.lit(DELTA_CHARS)))
+            .alias("text"),
+        )
+    )
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = conversation_events(read_table(spark, sf_dir, "conversations"))
+    path = f"{scratch_folder(spark)}/chats-{uuid.uuid4()}"
+    chat.format_chats(chat.reconstruct(events)).write.parquet(path)
+    return chat.digests(spark.read.parquet(path))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix.Mix(read_table(spark, sf_dir, "documents"), SEED).taken()
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -59,14 +106,22 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.BASE, "base_failed", "kept", "quality")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_folder(spark)}/warc-{uuid.uuid4()}"
+    warc.write_archive(read_table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path)
+
+
 def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
         "op2_decontamination": op2_decontamination,
+        "op3_chat_format": op3_chat_format,
         "op4_mix": op4_mix,
         "op5_language": op5_language,
         "op6_simhash": op6_simhash,
         "op8_quality": op8_quality,
+        "op9_warc": op9_warc,
     }
 
 
