@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,3 +110,9 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
 def word_count(text: Column) -> Column:
     """Words of a text, 0 for null, inside the JVM."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table that stands in the plan as one literal."""
+    values = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+    return spark.range(1).select(F.inline(values))

@@ -11,14 +11,13 @@ disjoint, and each is then shuffled by itself.
 
 from __future__ import annotations
 
-import json
 import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinsheet.llm.common import word_count
+from kinsheet.llm.common import literal_table, word_count
 from kinsheet.session import materialize
 
 WEIGHTS = (1, 2, 3)
@@ -91,11 +90,6 @@ def sized(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 KEY = ["doc_id", "source", "digest", "nth"]
 
 
-def _literal_table(spark, rows: list[dict], schema: str) -> DataFrame:
-    values = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
-    return spark.range(1).select(F.inline(values))
-
-
 def _same_key(left: DataFrame, right: DataFrame) -> Column:
     """Rows of one document; ``right`` has its key under names with an underscore."""
     found = F.lit(True)
@@ -128,7 +122,7 @@ class Mix:
         aims = targets([n for _, n in listed])
         total = sum(n for _, n in listed)
         self.block_words = max(BLOCK_WORDS, math.ceil(total / MOST_BLOCKS))
-        self.sources = _literal_table(
+        self.sources = literal_table(
             spark,
             [
                 {"source": s, "number": i, "source_size": n, "target": t}
@@ -207,7 +201,7 @@ class Mix:
         if self.shards * sources > MOST_QUOTAS:
             raise ValueError("too many shards for the number of sources: raise SHARD_BLOCKS")
         ends = np.cumsum(split_quotas(quotas, self.shards, seed), axis=1)
-        plan = _literal_table(
+        plan = literal_table(
             spark,
             [
                 {"number": i, "per_epoch": taken.get(i, (0, 0))[0], "ends": ends[i].tolist()}

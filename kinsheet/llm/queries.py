@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinsheet.llm import chat, decontaminate, langid, mix, quality, simhash, tokens, warc
+from kinsheet.llm import chat, decontaminate, langid, licenses, mix, quality, simhash, tokens, warc
 from kinsheet.llm.common import read_table
 from kinsheet.session import scratch_folder
 
@@ -112,6 +112,23 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, path)
 
 
+def document_paths(docs: DataFrame) -> DataFrame:
+    """Documents as files: a directory a source, language and thousand of ids.
+
+    A text whose first line speaks of a licence is a licence file of its directory.
+    """
+    first = F.substring_index("text", "\n", 1)
+    name = F.when(first.rlike("(?i)licen[cs]"), F.concat(F.lit("LICENSE."), "doc_id")).otherwise(
+        F.concat("doc_id", F.lit(".txt"))
+    )
+    folder = F.expr("doc_id div 1000").cast("string")
+    return docs.select("doc_id", F.concat_ws("/", "source", "lang", folder, name).alias("path"), "text")
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(document_paths(read_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
@@ -122,6 +139,7 @@ def queries() -> dict:
         "op6_simhash": op6_simhash,
         "op8_quality": op8_quality,
         "op9_warc": op9_warc,
+        "op10_licenses": op10_licenses,
     }
 
 
