@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinsheet.llm import chat, decontaminate, langid, licenses, mix, quality, simhash, tokens, warc
+from kinsheet.llm import chat, decontaminate, langid, licenses, mix, quality, repeats, simhash, tokens, warc
 from kinsheet.llm.common import read_table
 from kinsheet.session import scratch_folder
 
@@ -101,6 +101,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", *quality.BASE, "base_failed", "kept", "quality")
@@ -137,6 +142,7 @@ def queries() -> dict:
         "op4_mix": op4_mix,
         "op5_language": op5_language,
         "op6_simhash": op6_simhash,
+        "op7_repeats": op7_repeats,
         "op8_quality": op8_quality,
         "op9_warc": op9_warc,
         "op10_licenses": op10_licenses,
