@@ -162,19 +162,22 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int) -> tuple:
         table = 1 << max(12, min(18, (2 * len(seq)).bit_length()))
         key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
         slot = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - table.bit_length())
-        slot = slot.astype(np.int32)
+        slot = slot.view(np.int64)
         # One pair owns a slot; rarer ones that share it wait for a later round.
         owner = np.zeros(table, dtype=np.uint64)
         owner[slot] = key
-        own = (owner[slot] == key) & ~last[:-1]
-        count = np.bincount(slot[own], minlength=table)
+        own = owner[slot] == key
+        own[last[:-1]] = False
+        slot[~own] = table
+        count = np.bincount(slot, minlength=table)[:table]
         top = int(count.max())
         if top < LEAST_PAIRS:
             break
         chosen = np.flatnonzero(count >= max(LEAST_PAIRS, top * ROUND_SHARE))
-        symbol = np.zeros(table, dtype=np.uint32)
+        symbol = np.zeros(table + 1, dtype=np.uint32)
         symbol[chosen] = len(length) + np.arange(len(chosen))
-        at = np.flatnonzero(own & (symbol[slot] > 0))
+        given = symbol[slot]
+        at = np.flatnonzero(given)
         fresh = np.ones(len(at), dtype=bool)
         fresh[1:] = np.diff(at) > 1
         first = np.flatnonzero(fresh)
@@ -185,7 +188,7 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int) -> tuple:
         made.append(np.stack([left, right], axis=1))
         rounds.append(len(chosen))
         length = np.append(length, length[left] + length[right])
-        seq[at] = symbol[slot[at]]
+        seq[at] = given[at]
         last = last.copy()
         last[at] = last[at + 1]
         stays = np.ones(len(seq), dtype=bool)
