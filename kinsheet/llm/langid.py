@@ -14,13 +14,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinsheet.llm import common
+from kinsheet.session import materialize
 
 #: Hashed n-gram dimensions, and the n-gram lengths that share them.
 DIMENSIONS = 1 << 12
 GRAMS = (1, 2, 3)
 CENTROIDS = 4
 #: Labelled rows a language that centroids are fitted on; document frequencies use all rows.
-FIT_ROWS = 2048
+FIT_ROWS = 1000
+#: Rows of the sample that are sent to all tasks; a larger one is joined by a shuffle.
+SENT_ROWS = 1 << 20
 UNKNOWN = "und"
 #: A text is rejected below this share of the similarity that the farthest hundredth of the
 #: fitted texts of its length class still has.
@@ -200,7 +203,11 @@ def fit(
     ranked = labelled.select("doc_id", "lang", place.alias("place")).withColumn(
         "nth", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     )
+    # Up to 1000 rows a language are cut to the smallest inside each task, before the shuffle.
     chosen = ranked.where(F.col("nth") <= fit_rows).select("doc_id", "lang", "place").distinct()
+    chosen = materialize(chosen)
+    if chosen.count() <= SENT_ROWS:
+        chosen = F.broadcast(chosen)
     sample = _vectors(labelled.join(chosen, ["doc_id", "lang"]), idf)
     classes = CLASSES
 

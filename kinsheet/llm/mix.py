@@ -31,7 +31,8 @@ SHARD_BLOCKS = 1 << 18
 #: Numbers of the plan (sources times shards) that the driver draws.
 MOST_QUOTAS = 1_000_000
 
-NOT_SPACE, SPACE = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]"
+#: A word and the white space that follows it.
+WORD_ON = r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS) -> list[float]:
@@ -251,6 +252,11 @@ class Mix:
         return self.draws.repartition(self.shards, "shard").sortWithinPartitions("shard", "place")
 
 
+def _blocks_of(text: Column, words: int) -> Column:
+    """Blocks of a text with the white space after their words."""
+    return F.regexp_extract_all(text, F.lit(f"(?:{WORD_ON}){{1,{words}}}+"), F.lit(0))
+
+
 def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """``docs`` as the mix takes them: a row for each whole time, one for a part.
 
@@ -268,30 +274,33 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
         *[f"_{k}" for k in KEY],
         F.when(F.col("words") < F.col("_size"), F.col("blocks")).alias("_blocks"),
     )
-    text = F.col("text").cast("string")
-    keyed = docs.withColumn("_hash", F.xxhash64(text))
+    # The document travels as one column, so that none of its names can be met by another.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(
+        row,
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        F.xxhash64(F.col("text").cast("string")).alias("digest"),
+    )
     if mix.sizes.where("nth > 1").isEmpty():
         number = F.lit(1)
     else:
-        number = F.row_number().over(Window.partitionBy("doc_id", "source", "_hash").orderBy("_hash"))
-    keyed = keyed.withColumn("_number", number)
-    joined = keyed.join(
-        taken,
-        keyed["doc_id"].cast("long").eqNullSafe(taken["_doc_id"])
-        & keyed["source"].cast("string").eqNullSafe(taken["_source"])
-        & keyed["_hash"].eqNullSafe(taken["_digest"])
-        & keyed["_number"].eqNullSafe(taken["_nth"]),
+        same = Window.partitionBy("doc_id", "source", "digest").orderBy("digest")
+        number = F.row_number().over(same)
+    keyed = keyed.withColumn("nth", number)
+    text = F.col("row.text").cast("string")
+    joined = keyed.join(taken, _same_key(keyed, taken)).select(
+        "row",
+        F.col("_blocks").alias("blocks"),
+        F.when(F.col("_blocks").isNotNull(), _blocks_of(text, mix.block_words)).alias("parts"),
     )
-    word = f"{NOT_SPACE}++{SPACE}*+"
-    blocks = F.regexp_extract_all(text, F.lit(f"(?:{word}){{1,{mix.block_words}}}+"), F.lit(0))
 
     def cut(block: Column) -> Column:
-        words = F.regexp_extract_all(
-            F.col("_parts")[block["block"].cast("int")], F.lit(word), F.lit(0)
-        )
+        words = F.regexp_extract_all(F.col("parts")[block["block"].cast("int")], F.lit(WORD_ON), F.lit(0))
         return F.array_join(F.slice(words, F.lit(1), block["words"].cast("int")), "")
 
-    part = F.array_join(F.transform("_blocks", cut), "")
-    mixed = F.when(F.col("_blocks").isNull(), text).otherwise(part).alias("text")
-    joined = joined.withColumn("_parts", F.when(F.col("_blocks").isNotNull(), blocks))
-    return joined.select(*[mixed if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    part = F.array_join(F.transform("blocks", cut), "")
+    mixed = F.when(F.col("blocks").isNull(), text).otherwise(part).alias("text")
+    return joined.select(
+        *[mixed if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    )

@@ -50,7 +50,7 @@ SCHEMA = (
 
 #: The tokenizer's own rule for pieces, for texts of the first 256 code points. Fixed value.
 LATIN_PIECES = re.compile(
-    "'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\sa-z0-9ªµºß-öø-ÿ²³¹¼-¾]+"
+    "'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-z0-9ªµºß-öø-ÿ²³¹¼-¾]+"
 )
 
 
@@ -99,7 +99,7 @@ class WordEncoder:
         cut = list(map(LATIN_PIECES.findall, map(str.lower, latin)))
         new = list(set(chain.from_iterable(cut)).difference(known))
         if new:
-            written = [p if p.isascii() else p.translate(self.letters) for p in new]
+            written = [p if p.isascii() and p.isprintable() else p.translate(self.letters) for p in new]
             coded = self.model.encode(written, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(coded.ids, dtype="<u4").tobytes()
             owner = np.array(coded.word_ids, dtype=np.int64)

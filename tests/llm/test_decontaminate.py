@@ -1,0 +1,96 @@
+import random
+
+import pyarrow as pa
+import pytest
+from conftest import words
+from kinsheet.llm import decontaminate, queries
+
+
+def shingles(text):
+    found = decontaminate.words_in(pa.array([text]))[0].to_pylist()
+    size = min(5, len(found))
+    return {tuple(found[i : i + size]) for i in range(len(found) - size + 1)} if size else set()
+
+
+def test_query_finds_verbatim_items(spark, sf_dir, documents):
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    expected = {
+        (r["doc_id"], i) for r in documents.collect() for i, t in items.items() if t in (r["text"] or "")
+    }
+    found = {(r["doc_id"], r["item_id"]) for r in queries.op2_decontamination(spark, sf_dir).collect()}
+    assert expected and expected <= found
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    for doc, item in found - expected:
+        have, want = shingles(texts[doc]), shingles(items[item])
+        assert len(have & want) >= 0.75 * len(want)
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    rng = random.Random(11)
+    rows = [(i, words(rng, rng.randint(8, 60))) for i in range(40)]
+    rows += [(90, None), (91, ""), (None, "no id here at all"), (92, rows[3][1])]
+    return spark.createDataFrame(rows, "item_id long, text string"), dict(rows[:40])
+
+
+def test_planted_and_odd_rows(spark, items, odd_docs):
+    frame, texts = items
+    rng = random.Random(12)
+    filler = [words(rng, 400) for _ in range(8)]
+    docs = [
+        (100, filler[0] + " " + texts[5] + " " + filler[1]),
+        (101, texts[6].upper() + "."),
+        (102, filler[2] + "!!" + texts[7] + "%%% x"),
+        (103, " ".join(texts[8].split()[: len(texts[8].split()) // 2]) + " " + filler[3]),
+        (104, filler[4]),
+        (105, words(rng, 30_000) + " " + texts[9] + " " + words(rng, 5000)),
+        (106, texts[3]),
+        (106, texts[3]),
+    ]
+    frame_docs = spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontaminate.find_leaks(frame_docs, frame).collect()
+    pairs = sorted((r["doc_id"], r["item_id"]) for r in found)
+    assert pairs == [(100, 5), (101, 6), (102, 7), (105, 9), (106, 3), (106, 3), (106, 92), (106, 92)]
+    assert decontaminate.find_leaks(odd_docs, frame).count() == 0
+    kept = decontaminate.drop_leaks(frame_docs, frame)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [103, 104]
+    assert decontaminate.drop_leaks(odd_docs, frame).count() == odd_docs.count()
+    assert decontaminate.drop_leaks(odd_docs, frame).columns == odd_docs.columns
+
+
+def test_no_rows(spark, items, no_docs, odd_docs):
+    frame, _ = items
+    assert decontaminate.find_leaks(no_docs, frame).count() == 0
+    assert decontaminate.find_leaks(odd_docs, frame.limit(0)).count() == 0
+    assert decontaminate.drop_leaks(odd_docs, frame.limit(0)).count() == odd_docs.count()
+
+
+def test_several_indexes(spark, items, monkeypatch):
+    frame, texts = items
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 600)
+    assert len(list(decontaminate.indexes(frame))) > 5
+    docs = spark.createDataFrame([(i, f"x y {t} z") for i, t in texts.items()], "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, frame).collect()}
+    assert {(i, i) for i in texts} <= found
+
+
+def test_retrieval_is_exact():
+    """Pruning by maxima loses no pair that reaches the threshold."""
+    import numpy as np
+
+    rng = random.Random(2)
+    texts = [words(rng, 20) for _ in range(50)]
+    index = decontaminate.Index(list(range(50)), texts)
+    size = len(index.terms)
+    picks = [sorted(rng.sample(range(size), rng.randint(1, size))) for _ in range(60)]
+    passage = np.repeat(np.arange(60), [len(p) for p in picks])
+    at, item, score = index.retrieve(passage, np.concatenate(picks), 60)
+    got = {(a, i): round(s, 9) for a, i, s in zip(at.tolist(), item.tolist(), score.tolist())}
+    impact = np.zeros((size, 50))
+    cells = np.repeat(index.cell // index.blocks, index.cell_size)
+    impact[cells, index.item] = index.impact
+    exact = np.stack([impact[p].sum(axis=0) for p in picks])
+    expected = {
+        (a, i): round(exact[a, i], 9) for a, i in zip(*map(list, np.nonzero(exact >= 0.5 - 1e-9)))
+    }
+    assert got == {(int(a), int(i)): s for (a, i), s in expected.items()}
