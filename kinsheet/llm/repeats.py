@@ -23,6 +23,7 @@ from kinsheet.llm import common
 from kinsheet.session import materialize
 
 WINDOW = 100
+NO_ID = -(1 << 63)
 #: Bytes of the hashed strings whose smallest hash places a window.
 GRAM = 16
 #: Bytes in which equal segments are folded inside a task. Positions in them need 24 bits.
@@ -140,18 +141,26 @@ def repeated_windows(data, ends, group) -> np.ndarray:
     return window[window != np.repeat(earliest, sizes)]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``(doc_id, version, text)``; the version is 0 unless an id is repeated or null.
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, version, text)`` of all rows, and of each document once.
 
-    Then it is the text's hash, and rows with equal id and text are one.
+    The version is 0 unless an id is repeated or null somewhere. Then it is the text's hash,
+    and rows with equal id and text are one document.
     """
     rows = docs.select(
         F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     odd = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
     if odd.isEmpty():
-        return rows.select("doc_id", F.lit(0).cast("long").alias("version"), "text")
-    return rows.select("doc_id", F.xxhash64("text").alias("version"), "text")
+        keyed = rows.select(_known("doc_id"), F.lit(0).cast("long").alias("version"), "text")
+        return keyed, keyed
+    keyed = rows.select(_known("doc_id"), F.xxhash64("text").alias("version"), "text")
+    return keyed, keyed.dropDuplicates(["doc_id", "version"])
+
+
+def _known(column: str) -> F.Column:
+    """Missing ids travel as the smallest long, so they come before all others."""
+    return F.coalesce(column, F.lit(NO_ID).cast("long")).alias(column)
 
 
 #: Segments on their way: ``kind`` 0 is to be compared, 1 is known to repeat an earlier one.
@@ -173,7 +182,7 @@ def _segments(docs: DataFrame) -> DataFrame:
 
 def _fold(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     texts = part.column("text").cast(pa.binary())
-    ids = np.asarray(pc.fill_null(part.column("doc_id"), np.iinfo(np.int64).min))
+    ids = part.column("doc_id").to_numpy()
     versions = part.column("version").to_numpy()
     sizes = np.asarray(pc.binary_length(texts), dtype=np.int64)
     whole = b"".join(texts.to_pylist())
@@ -199,14 +208,10 @@ def _fold(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     doc, version = doc[order], version[order]
     again = np.zeros(len(anchor), dtype=bool)
     again[1:] = (anchor[1:] == anchor[:-1]) & (body[1:] == body[:-1])
-    first = np.flatnonzero(~again)
-    head = first[np.cumsum(~again) - 1] if len(first) else first
-    self_same = (doc == doc[head]) & (version == version[head]) & (begin == begin[head])
-    again_else = again & ~self_same
     kept = ~again
     yield _rows(0, anchor[kept], body[kept], doc[kept], version[kept], begin[kept], length[kept])
     # Neighbouring repeats of a text are one span.
-    own, begin, end = own[again_else], begin[again_else], (begin + length)[again_else]
+    own, begin, end = own[again], begin[again], (begin + length)[again]
     order = np.lexsort((begin, own))
     own, begin, end = own[order], begin[order], end[order]
     if len(own):
@@ -387,11 +392,6 @@ def _merged(bodies: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "doc_id long, version long, span long")
 
 
-def _null_id(column: str):
-    """Missing ids travel as the smallest long, so they come before all others."""
-    return F.coalesce(column, F.lit(-(1 << 63)).cast("long"))
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``(doc_id, version, span)``: bytes that an earlier equal window covers, with overlaps."""
     columns = ["kind", "anchor", "doc_id", "version", "span"]
@@ -409,8 +409,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts, those equal in both are one document; a null id comes before all. Equality of
     whole segments is that of 128 bits of hashes. Other columns are not read.
     """
-    keyed = _keyed(docs).withColumn("doc_id", _null_id("doc_id"))
-    spans = repeated_spans(keyed).groupBy("doc_id", "version").agg(F.collect_list("span").alias("spans"))
+    keyed, distinct = _keyed(docs)
+    spans = repeated_spans(distinct).groupBy("doc_id", "version")
+    spans = spans.agg(F.collect_list("span").alias("spans"))
     joined = keyed.join(spans, ["doc_id", "version"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,7 +439,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         run,
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary",
     )
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63)).cast("long")))
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID).cast("long")))
 
 
 def _cut(text: bytes, spans: list[int] | None) -> tuple[int, int, int, str, bytes]:
