@@ -70,6 +70,16 @@ def _part_grams(**options) -> Query:
     return run
 
 
+def _supplier_ties(**options) -> Query:
+    """Numbered names of one template: nearly all of them score alike."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        results = find_similar(B.supplier_objects(spark, sf_dir), threshold=0.8, top_k=3, **options)
+        return _pairs(results, label=True)
+
+    return run
+
+
 def _part_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = find_similar(B.part_objects(spark, sf_dir), threshold=0.5, top_k=40)
     return results.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -290,6 +300,8 @@ def base_queries() -> dict[str, Query]:
         "sim_gram_names": _part_grams(mode="within", top_k=5),
         "sim_gram_names_cross": _part_grams(mode="cross", top_k=5),
         "sim_gram_names_all_ranges": _part_grams(mode="all", top_k=5, range_bits=6),
+        "sim_ties": _supplier_ties(mode="within"),
+        "sim_ties_cross": _supplier_ties(mode="cross"),
         "sim_labels": _part_labels,
         "sim_model_names": _part_model,
         "sim_result_table": _sheet_job(mode="within"),
@@ -326,6 +338,7 @@ def base_sql() -> dict[str, str]:
     cross = O.vector_query(O.CROSS, **vector)
     labelled = f"SELECT {O.PAIR_COLUMNS}, {O.LABEL} AS label FROM ranked"
     grams = O.gram_pairs("parts", 0.5)
+    ties = O.gram_pairs("parts", 0.8)
     record = f"group_id, {O.RECORD}"
     fields = ", ".join(
         f"CASE WHEN {c} = '' THEN '{h}' END" for c, h in list(RECORD_HEADERS.items())[:7]
@@ -361,6 +374,8 @@ WHERE module_id <> '' AND (platform_id = '' OR system_id = '' OR software_id = '
         "sim_gram_names": f"WITH {O.part_matches(O.WITHIN, grams, 5)} {labelled}",
         "sim_gram_names_cross": f"WITH {O.part_matches(O.CROSS, grams, 5)} {labelled}",
         "sim_gram_names_all_ranges": f"WITH {O.part_matches(f'({O.ALL})', grams, 5)} {labelled}",
+        "sim_ties": f"WITH {O.part_matches(O.WITHIN, ties, 3, O.SUPPLIERS)} {labelled}",
+        "sim_ties_cross": f"WITH {O.part_matches(O.CROSS, ties, 3, O.SUPPLIERS)} {labelled}",
         "sim_labels": f"WITH {O.part_matches(O.WITHIN, grams, 40)} "
         f"SELECT {O.LABEL} AS label, count(*) AS n FROM ranked GROUP BY 1",
         "sim_model_names": "WITH "

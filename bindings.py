@@ -212,3 +212,11 @@ def part_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         *_object("software", F.col("p_brand"), key, F.col("p_name"), F.col("p_partkey"))
     )
+
+
+def supplier_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects from ``supplier``: names of one template with a number, group = nation."""
+    key = F.lpad(F.col("s_suppkey").cast("string"), 10, "0")
+    return table(spark, sf_dir, "supplier").select(
+        *_object("software", F.col("s_nationkey").cast("string"), key, F.col("s_name"), F.col("s_suppkey"))
+    )

@@ -25,10 +25,12 @@ _SCORE_DIGITS = 12
 
 SCOPE = ["level", "part", "bucket"]
 # Positions are (major, minor) pairs: q = as left side of a pair, c = as right side.
-STATS = ["q_lo1", "q_lo2", "q_hi1", "q_hi2", "c_hi1", "c_hi2", "n_q", "n_c"]
+# c_first is the place, in the order of ties, of a name's first object; c_last that of the object
+# at its last position (the first of several).
+STATS = ["q_lo1", "q_lo2", "q_hi1", "q_hi2", "c_hi1", "c_hi2", "n_q", "n_c", "c_first", "c_last"]
 PAIR_SCHEMA = (
     "level string, part string, a_name string, b_name string, score double, "
-    "n_q long, n_c long, alive boolean"
+    "n_q long, n_c long, c_first long, c_last long, alive boolean"
 )
 
 
@@ -157,17 +159,25 @@ def _gram_scores(a: _Block, b: _Block) -> np.ndarray:
     shared = np.intersect1d(a.gram, b.gram)
     dots = np.zeros((len(a), len(b)))
 
-    def columns(block: _Block, low: int, high: int) -> np.ndarray:
+    def placed(block: _Block) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of shared grams in the order of these, found once."""
         place = np.searchsorted(shared, block.gram)
-        inside = (place >= low) & (place < high)
-        inside[inside] = shared[place[inside]] == block.gram[inside]
+        entry = np.flatnonzero(place < len(shared))
+        entry = entry[shared[place[entry]] == block.gram[entry]]
+        entry = entry[np.argsort(place[entry], kind="stable")]
+        return entry, place[entry]
+
+    def columns(block: _Block, entry, place, low: int, high: int) -> np.ndarray:
+        run = slice(*np.searchsorted(place, [low, high]))
         dense = np.zeros((len(block), high - low))
-        dense[block.gram_owner[inside], place[inside] - low] = block.gram_count[inside]
+        entry = entry[run]
+        dense[block.gram_owner[entry], place[run] - low] = block.gram_count[entry]
         return dense
 
+    at_a, at_b = placed(a), placed(b)
     for low in range(0, len(shared), _GRAM_COLUMNS):
         high = min(low + _GRAM_COLUMNS, len(shared))
-        dots += columns(a, low, high) @ columns(b, low, high).T
+        dots += columns(a, *at_a, low, high) @ columns(b, *at_b, low, high).T
     return dots / np.maximum(np.sqrt(np.outer(a.square, b.square)), NORM_FLOOR)
 
 
@@ -175,24 +185,28 @@ def _before(lo1, lo2, hi1, hi2) -> np.ndarray:
     return (lo1 < hi1) | ((lo1 == hi1) & (lo2 < hi2))
 
 
-def _cut(left: np.ndarray, score: np.ndarray, alive: np.ndarray, top_k: int) -> np.ndarray:
+def _cut(left, score, alive, first, last, top_k: int) -> np.ndarray:
     """Indices of pairs that can still reach some object's top-k.
 
-    ``alive`` partners have an object after the last object of the left name, so each
-    gives every left object at least one match. Once ``top_k`` of them score strictly
-    higher than a pair, that pair is out. Ties at the edge stay.
+    An ``alive`` partner has an object after the last object of the left name, so it gives
+    every left object that one match at least. It comes before all objects of another partner
+    if it scores higher, or the same with its last object (``last``) ahead of the other's
+    first one (``first``) in the order of ties. Once ``top_k`` of them come before a pair, the
+    pair is out: equal scores leave no more than higher ones do.
     """
-    order = np.lexsort((-score, left))
-    left, score, alive = left[order], score[order], alive[order].astype(np.int64)
-    new_left = np.ones(len(left), dtype=bool)
-    new_left[1:] = left[1:] != left[:-1]
-    new_score = new_left.copy()
-    new_score[1:] |= score[1:] != score[:-1]
-    before = np.cumsum(alive) - alive
-    index = np.arange(len(left))
-    group_start = np.maximum.accumulate(np.where(new_left, index, 0))
-    tie_start = np.maximum.accumulate(np.where(new_score, index, 0))
-    return order[before[tie_start] - before[group_start] < top_k]
+    count = len(left)
+    lives = np.flatnonzero(alive)
+    owner = np.concatenate([np.arange(count), lives])
+    place = np.concatenate([first, last[lives]])
+    is_alive = np.repeat([0, 1], [count, len(lives)])
+    # A pair is looked at ahead of its own object of the same place.
+    order = np.lexsort((is_alive, place, -score[owner], left[owner]))
+    new_left = np.ones(len(order), dtype=bool)
+    new_left[1:] = left[owner[order[1:]]] != left[owner[order[:-1]]]
+    before = np.cumsum(is_alive[order]) - is_alive[order]
+    start = np.maximum.accumulate(np.where(new_left, np.arange(len(order)), 0))
+    ahead = before - before[start]
+    return order[(ahead < top_k) & (is_alive[order] == 0)]
 
 
 def _directed_pairs(a, b, ia, ib, score, top_k) -> pa.Table | None:
@@ -202,7 +216,7 @@ def _directed_pairs(a, b, ia, ib, score, top_k) -> pa.Table | None:
     if not len(ia):
         return None
     alive = _before(q["q_hi1"][ia], q["q_hi2"][ia], c["c_hi1"][ib], c["c_hi2"][ib])
-    keep = _cut(ia, score, alive, top_k)
+    keep = _cut(ia, score, alive, c["c_first"][ib], c["c_last"][ib], top_k)
     ia, ib = ia[keep], ib[keep]
     return pa.table(
         {
@@ -211,6 +225,8 @@ def _directed_pairs(a, b, ia, ib, score, top_k) -> pa.Table | None:
             "score": score[keep],
             "n_q": q["n_q"][ia],
             "n_c": c["n_c"][ib],
+            "c_first": c["c_first"][ib],
+            "c_last": c["c_last"][ib],
             "alive": alive[keep],
         }
     )

@@ -69,7 +69,9 @@ def find_similar(
     chosen = with_norm_name(objects.where(F.col("level").isin(levels)), drop_module_suffix)
     if scope.directed:
         chosen = chosen.where(F.col("group_id").isin(scope.anchor, *scope.targets))
-    chosen = materialize(chosen)
+    # Stored in the order in which ties are taken; a row's place in it is one long.
+    in_order = chosen.orderBy("group_id", "object_id")
+    chosen = materialize(in_order.withColumn("place", F.monotonically_increasing_id()))
     if not chosen.where(F.col("norm_name") == "").isEmpty():
         raise ValueError("a name is empty after normalisation")
 
@@ -116,7 +118,7 @@ def _placed(objects: DataFrame, scope: Scope) -> DataFrame:
     """
     zero, none = F.lit(0).cast("long"), F.lit("")
     base = objects.select(
-        "level", "group_id", "object_id", "obj_seq", F.col("norm_name").alias("name")
+        "level", "group_id", "object_id", "obj_seq", "place", F.col("norm_name").alias("name")
     )
     if scope.mode == "within":
         part = F.col("group_id")
@@ -136,7 +138,9 @@ def _name_rows(placed: DataFrame, scope: Scope) -> DataFrame:
         side = F.col("p1").cast("int")
         left = F.col("side") == 0
         zero = F.lit(0).cast("long")
-        rows = placed.groupBy(*NAME_KEY, side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
+        rows = placed.groupBy(*NAME_KEY, side.alias("side")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("place").alias("c_first")
+        )
         asks = F.when(left, zero).otherwise(F.lit(_LATE))
         answers = F.when(left, F.lit(_NEVER)).otherwise(F.lit(1).cast("long"))
         return rows.select(
@@ -150,12 +154,18 @@ def _name_rows(placed: DataFrame, scope: Scope) -> DataFrame:
             zero.alias("c_hi2"),
             F.col("n").alias("n_q"),
             F.col("n").alias("n_c"),
+            "c_first",
+            F.col("c_first").alias("c_last"),  # all targets share one position
         )
+    ties = [
+        F.min("place").alias("c_first"),
+        (-F.max(F.struct("p1", "p2", (-F.col("place")).alias("minus")))["minus"]).alias("c_last"),
+    ]
     grouped = placed.groupBy(*NAME_KEY)
     if scope.mode == "all":
         both = F.struct("p1", "p2")
         rows = grouped.agg(
-            F.min(both).alias("lo"), F.max(both).alias("hi"), F.count(F.lit(1)).alias("n")
+            F.min(both).alias("lo"), F.max(both).alias("hi"), F.count(F.lit(1)).alias("n"), *ties
         ).select(
             *NAME_KEY,
             F.col("lo.p1").alias("lo1"),
@@ -163,6 +173,8 @@ def _name_rows(placed: DataFrame, scope: Scope) -> DataFrame:
             F.col("hi.p1").alias("hi1"),
             F.col("hi.p2").alias("hi2"),
             "n",
+            "c_first",
+            "c_last",
         )
     else:  # one of the two position parts is constant
         rows = grouped.agg(
@@ -171,8 +183,9 @@ def _name_rows(placed: DataFrame, scope: Scope) -> DataFrame:
             F.max("p1").alias("hi1"),
             F.max("p2").alias("hi2"),
             F.count(F.lit(1)).alias("n"),
+            *ties,
         )
-    bounds = ["lo1", "lo2", "hi1", "hi2", "hi1", "hi2", "n", "n"]
+    bounds = ["lo1", "lo2", "hi1", "hi2", "hi1", "hi2", "n", "n", "c_first", "c_last"]
     return rows.select(
         *NAME_KEY, F.lit(0).alias("side"), *[F.col(b).alias(s) for b, s in zip(bounds, STATS)]
     )
@@ -239,6 +252,8 @@ def _self_pairs(rows: DataFrame, score: Column, threshold: float) -> DataFrame:
         score.alias("score"),
         "n_q",
         "n_c",
+        "c_first",
+        "c_last",
         F.lit(False).alias("alive"),  # nothing of a name comes after its own last object
     ).where(reaches(F.col("score"), threshold))
 
@@ -248,21 +263,25 @@ def _useful(pairs: DataFrame, top_k: int, merge: bool) -> DataFrame:
     left = ["level", "part", "a_name"]
     pairs = pairs.repartition(*left)
     if merge:
+        same = ["score", "n_q", "n_c", "c_first", "c_last"]
         pairs = pairs.groupBy(*left, "b_name").agg(
-            F.max("score").alias("score"),
-            F.max("n_q").alias("n_q"),
-            F.max("n_c").alias("n_c"),
-            F.bool_or("alive").alias("alive"),
+            *[F.max(c).alias(c) for c in same], F.bool_or("alive").alias("alive")
         )
-    by_score = Window.partitionBy(*left).orderBy(F.desc("score"))
-    ahead = by_score.rowsBetween(Window.unboundedPreceding, -1)
-    peers = by_score.rangeBetween(Window.currentRow, Window.currentRow)
+    # Two events a pair: its first object, and the object it is sure to give if it is alive.
+    events = F.array(
+        F.struct(F.col("c_first").alias("at"), F.lit(0).alias("gives")),
+        F.when(F.col("alive"), F.struct(F.col("c_last").alias("at"), F.lit(1).alias("gives"))),
+    )
+    events = F.filter(events, lambda e: e.isNotNull())
+    ahead = (
+        Window.partitionBy(*left)
+        .orderBy(F.desc("score"), "event.at", "event.gives")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     cut = (
-        pairs.withColumn(
-            "ahead", F.coalesce(F.sum(F.col("alive").cast("long")).over(ahead), F.lit(0))
-        )
-        .withColumn("ahead", F.min("ahead").over(peers))
-        .where(F.col("ahead") < top_k)
+        pairs.withColumn("event", F.explode(events))
+        .withColumn("ahead", F.coalesce(F.sum("event.gives").over(ahead), F.lit(0)))
+        .where((F.col("event.gives") == 0) & (F.col("ahead") < top_k))
     )
     load = F.sum("n_c").over(Window.partitionBy(*left)) + F.col("n_q")
     return cut.select(*left, "b_name", "score", load.alias("load"))

@@ -233,8 +233,17 @@ parts AS (
 )"""
 
 
-def part_matches(condition: str, pairs: str, top_k: int) -> str:
-    return f"""{PARTS}, {pairs},
+SUPPLIERS = """
+parts AS (
+  SELECT lpad(s_suppkey::VARCHAR, 10, '0') AS id, s_nationkey::VARCHAR AS grp,
+    lower(s_name) AS name, s_suppkey AS seq,
+    min(s_suppkey) OVER (PARTITION BY s_nationkey) AS first_seq
+  FROM supplier
+)"""
+
+
+def part_matches(condition: str, pairs: str, top_k: int, parts: str = PARTS) -> str:
+    return f"""{parts}, {pairs},
 ranked AS (
   SELECT a.id AS a_id, b.id AS b_id, a.grp AS a_group, b.grp AS b_group, a_name, b_name, score,
     row_number() OVER (PARTITION BY a.id ORDER BY score DESC, b.grp, b.id) AS rnk

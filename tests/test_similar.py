@@ -8,6 +8,7 @@ import pytest
 from kinsheet.operators import vectors as vector_module
 from kinsheet.operators.objects import with_norm_name
 from kinsheet.operators.vectors import model_vectors
+from kinsheet.plans import similar as similar_module
 from kinsheet.plans.report import ordered_results
 from kinsheet.plans.similar import find_similar
 from kinsheet.schemas import RECORD_COLUMNS, VECTOR_SCHEMA
@@ -307,3 +308,55 @@ def test_module_results_sort_after_software(spark):
     results = ordered_results(find_similar(both, vectors(spark, {"n": [1, 0]}))).collect()
     assert [r["level"] for r in results] == ["software"] * 3 + ["module"] * 3
     assert [r["a"]["software_id"] for r in results[:3]] == ["10", "2", "2"]
+
+
+# --- equal scores ------------------------------------------------------------------------
+
+
+def template_rows(count, order):
+    """Names of one template with a number; ids run along the rows, against them, or at random."""
+    ids = {
+        "along": list(range(count)),
+        "against": list(range(count))[::-1],
+        "random": random.Random(2).sample(range(count), count),
+    }[order]
+    groups = ["G2", "G1", "G3"]
+    return [
+        (groups[i * 3 // count], f"{ids[i]:05d}", f"inspection evaluation station {i:05d}")
+        for i in range(count)
+    ]
+
+
+@pytest.mark.parametrize(("mode", "scope"), MODES)
+@pytest.mark.parametrize("order", ["along", "against", "random"])
+def test_ties_equal_nested_loop(spark, mode, scope, order):
+    rows = template_rows(60, order)
+    # some names twice, so that partners are not sure to come later
+    rows += [(g, f"9{i}", n) for g, i, n in rows[::4]]
+    options = {"mode": mode, "threshold": 0.8, "top_k": 3, "block_rows": 7, "range_bits": 3}
+    got = found(find_similar(objects(spark, rows), **options, **scope))
+    expected = plain_search(
+        rows, gram_cosine, mode, 0.8, 3, scope.get("anchor_group"), scope.get("target_groups", ())
+    )
+    assert sorted((a, b, rank, round(s, 9)) for a, b, rank, s, _ in got) == expected
+
+
+@pytest.mark.parametrize(("mode", "scope"), MODES)
+@pytest.mark.parametrize("order", ["along", "against"])
+def test_tied_names_store_few_pairs(spark, monkeypatch, mode, scope, order):
+    """2,000 names that all score alike leave three pairs a name, not all pairs."""
+    stored = []
+    original = similar_module.materialize
+
+    def count(df):
+        out = original(df)
+        if "b_name" in out.columns and "load" in out.columns:
+            stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar_module, "materialize", count)
+    rows = template_rows(2000, order)
+    table = {name: [1.0, 0.5] for _, _, name in rows}
+    options = {"mode": mode, "threshold": 0.9, "top_k": 3, **scope}
+    find_similar(objects(spark, rows), vectors(spark, table), **options)
+    assert 0 < stored[0] <= 3 * 3 * 2000
