@@ -27,7 +27,7 @@ NO_ID = -(1 << 63)
 #: Bytes of the hashed strings whose smallest hash places a window.
 GRAM = 16
 #: Bytes in which equal segments are folded inside a task. Positions in them need 24 bits.
-FOLD_BYTES = 8 << 20
+FOLD_BYTES = 2 << 20
 #: Segments of one anchor that one task merges; windows of a larger group are dealt by hash.
 GROUP_SEGMENTS = 1 << 15
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
