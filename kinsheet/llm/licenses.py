@@ -136,16 +136,19 @@ def statements(docs: DataFrame, least: float = THRESHOLD) -> DataFrame:
     frequency, documents = _document_frequency(rows)
     idf = weights(frequency, documents)
     templates = vectors(idf)
-    pattern = "(?i)" + "|".join(re.escape(w) for w in needed_words(templates, least))
+    needed = "|".join(re.escape(w) for w in needed_words(templates, least))
+    held = F.lower(F.col("text")).rlike(f"(?<![a-z0-9])(?:{needed})(?![a-z0-9])")
     whole = F.when(F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)), F.array("text"))
     units = F.concat(F.split("text", UNIT_END), F.coalesce(whole, F.array().cast("array<string>")))
+    # Texts, then units, without a needed word cannot reach any template and are left here.
     unit = (
-        rows.where(F.col("text").rlike(pattern))
-        .select("doc_id", "path", F.explode(F.array_distinct(units)).alias("unit"))
-        .where(F.col("unit").rlike(pattern))
+        rows.where(held)
+        .select("doc_id", "path", F.posexplode(units).alias("unit", "text"))
+        .where(held)
     )
-    word = unit.select("doc_id", "path", "unit", F.explode(_words(F.col("unit"))).alias("word"))
-    counted = word.groupBy("doc_id", "path", "unit", "word").agg(F.count(F.lit(1)).alias("tf"))
+    key = ["doc_id", "path", "unit"]
+    word = unit.select(*key, F.explode(_words(F.col("text"))).alias("word"))
+    counted = word.groupBy(*key, "word").agg(F.count(F.lit(1)).alias("tf"))
     known = literal_table(
         spark, [{"word": w, "idf": x} for w, x in idf.items()], "word string, idf double"
     )
@@ -153,7 +156,6 @@ def statements(docs: DataFrame, least: float = THRESHOLD) -> DataFrame:
     weighed = counted.join(known, "word", "left").withColumn(
         "weight", F.col("tf") * F.coalesce("idf", F.lit(rare))
     )
-    key = ["doc_id", "path", "unit"]
     size = weighed.groupBy(*key).agg(
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("size"),
         F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("word", "weight"))).alias("words"),
