@@ -16,12 +16,13 @@ import bindings as B  # noqa: E402
 import oracle as O  # noqa: E402
 from kinsheet.functions import scoring, text  # noqa: E402
 from kinsheet.operators.objects import conflicts, extract_objects, group_order  # noqa: E402
-from kinsheet.operators.outline import classified_rows, header_rows  # noqa: E402
+from kinsheet.operators.outline import classified_rows, header_rows, row_faults  # noqa: E402
 from kinsheet.operators.vectors import model_vectors  # noqa: E402
 from kinsheet.plans.flatten import flatten_hierarchy  # noqa: E402
 from kinsheet.plans.report import result_table, snapshot  # noqa: E402
+from kinsheet.plans.runs import flatten_run, similarity_run  # noqa: E402
 from kinsheet.plans.similar import find_similar, similarity_job  # noqa: E402
-from kinsheet.schemas import RECORD_COLUMNS, RECORD_HEADERS  # noqa: E402
+from kinsheet.schemas import EXCLUDED_HEADERS, RECORD_COLUMNS, RECORD_HEADERS  # noqa: E402
 from kinsheet.session import scratch_folder  # noqa: E402
 from kinsheet.sources.records import (  # noqa: E402
     combine_records,
@@ -132,20 +133,56 @@ def _sheet_records(many: bool) -> Query:
 
 
 def _sheet_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = classified_rows(B.sheets(spark, sf_dir)).where(F.col("row_number") > 2)
+    sheets = B.sheets(spark, sf_dir)
+    rows = classified_rows(sheets).join(header_rows(sheets), "source_id")
+    rows = rows.where(F.col("row_number") > F.col("header_row"))
     return rows.where(F.col("level") != "total").select(
         "source_id", "row_number", "serial", "name", "level"
     )
 
 
 def _sheet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = classified_rows(B.sheets(spark, sf_dir, many=True))
+    sheets = B.sheets(spark, sf_dir, many=True)
+    rows = classified_rows(sheets).join(header_rows(sheets), "source_id")
+    below = F.col("row_number") > F.col("header_row")
     return rows.groupBy("source_id").agg(
-        F.count_if(~F.col("level").isin("total") & (F.col("row_number") > 2)).alias("kept"),
+        F.count_if(~F.col("level").isin("total") & below).alias("kept"),
         F.count_if(F.col("level") == "nameless").alias("nameless"),
     )
 
 
+def _sheet_row_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row numbers that are lost, repeated or out of range, by rule."""
+    row = F.col("row_number")
+    damaged = (
+        F.when(row % 50 == 7, None)
+        .when(row % 50 == 11, row - 1)
+        .when(row % 50 == 13, -row)
+        .otherwise(row)
+    )
+    return row_faults(B.sheets(spark, sf_dir, many=True).withColumn("row_number", damaged))
+
+
+def _stored_flattening(spark: SparkSession, sf_dir: str) -> str:
+    """A sheet a nation through the whole stored run, the sheet's name as its group."""
+    folder = f"{scratch_folder(spark)}/{uuid.uuid4()}"
+    B.sheets(spark, sf_dir, many=True, lead=False).write.parquet(f"{folder}/sheets")
+    flatten_run(spark, f"{folder}/sheets", f"{folder}/flat", group_id=None)
+    return f"{folder}/flat"
+
+
+def _run_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = spark.read.parquet(f"{_stored_flattening(spark, sf_dir)}/excluded_categories")
+    return stored.select("source_id", *[F.col(h).alias(c) for c, h in EXCLUDED_HEADERS.items()])
+
+
+def _run_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = _stored_flattening(spark, sf_dir)
+    similarity_run(spark, [flat], f"{flat}-similar", threshold=0.95, top_k=1)
+    stored = spark.read.parquet(f"{flat}-similar/input_snapshot")
+    return stored.select(*[F.col(h).alias(c) for c, h in RECORD_HEADERS.items()])
+
+
 def _broken_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lenient output has blank parents; two kinds of damage are added by rule."""
     records = B.records(spark, sf_dir, lead=True)
@@ -311,6 +348,9 @@ def base_queries() -> dict[str, Query]:
         "sheet_header": lambda s, d: header_rows(B.sheets(s, d, many=True)),
         "sheet_classify": _sheet_classify,
         "sheet_filter": _sheet_filter,
+        "sheet_row_faults": _sheet_row_faults,
+        "run_excluded": _run_excluded,
+        "run_snapshot": _run_snapshot,
         "sheet_records": _sheet_records(many=False),
         "sheet_records_many": _sheet_records(many=True),
         "sheet_excluded": lambda s, d: _flattened(s, d, False).excluded,
@@ -393,6 +433,18 @@ WHERE module_id <> '' AND (platform_id = '' OR system_id = '' OR software_id = '
         "SELECT source_id, row_number, serial, name, level FROM levelled",
         "sheet_filter": f"{O.outline_sql(True, True)} SELECT source_id, count(*) AS kept, "
         "count(*) FILTER (level = 'nameless') AS nameless FROM levelled GROUP BY source_id",
+        "sheet_row_faults": f"""{O.outline_sql(True, True)}, damaged AS (
+  SELECT source_id, CASE WHEN row_number % 50 = 7 THEN NULL WHEN row_number % 50 = 11
+    THEN row_number - 1 WHEN row_number % 50 = 13 THEN -row_number ELSE row_number END AS row_number
+  FROM sheet),
+counted AS (SELECT source_id, row_number, count(*) AS n FROM damaged GROUP BY 1, 2)
+SELECT source_id, row_number, CASE WHEN row_number IS NULL THEN 'no row number'
+  WHEN row_number < 1 THEN 'row number out of range' ELSE 'repeated row number' END AS fault, n
+FROM counted WHERE row_number IS NULL OR row_number < 1 OR n > 1""",
+        "run_excluded": f"{O.states_sql(True, False)} SELECT source_id, platform_id, "
+        "platform_name, system_id, system_name, name AS title, row_number AS source_row "
+        "FROM states WHERE level = 'category'",
+        "run_snapshot": f"{O.objects_sql(True)} SELECT {record} FROM objects",
         "sheet_records": f"{O.states_sql(False, True)} SELECT source_id, row_number, "
         f"'A' AS group_id, {O.RECORD} FROM states WHERE level = 'software' OR module_id <> ''",
         "sheet_records_many": f"{O.states_sql(True, True)} SELECT source_id, row_number, "

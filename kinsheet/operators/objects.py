@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kinsheet.functions.text import comparable_name
 from kinsheet.schemas import LEVELS, RECORD_COLUMNS, SOFTWARE_COLUMNS
-from kinsheet.sources.records import RecordError
+from kinsheet.sources.records import RecordError, violations
 
 
 def _path(level: str) -> Column:
@@ -64,6 +64,10 @@ def extract_objects(records: DataFrame, *, check: bool = True) -> DataFrame:
         )
         if not bad.isEmpty():
             raise RecordError("blank group id, software id or software name")
+        pair = violations(records).where(F.col("rule").isin("module_pair", "module_path"))
+        broken = pair.orderBy("input_seq", "rule").limit(1).collect()
+        if broken:
+            raise RecordError(f"{broken[0]['rule']}: {broken[0]['detail']}")
         clash = keyed.where(F.col("path") != F.col("other")).orderBy("level", "group_id", "object_id")
         first = clash.select("level", "group_id", "object_id").limit(1).collect()
         if first:

@@ -22,6 +22,7 @@ from kinsheet.schemas import HEADER_SCAN_ROWS, SHEET_HEADER, TOTAL_MARK
 CHUNK_BITS = 14  # a chunk is 2**CHUNK_BITS consecutive row numbers
 MARKERS = ("platform", "system", "software")
 CHUNK = ["source_id", "chunk"]
+MAX_ROW = (1 << 40) - 1  # row numbers share a long with the number of their table later on
 
 
 def _is_header(df: DataFrame) -> Column:
@@ -39,6 +40,29 @@ def header_rows(sheets: DataFrame) -> DataFrame:
     return sheets.groupBy("source_id").agg(F.min(found).alias("header_row"))
 
 
+def _filled(sheets: DataFrame) -> Column:
+    return has_text(cell_text(sheets, "serial")) | has_text(cell_text(sheets, "name"), besides=BOM)
+
+
+def row_faults(sheets: DataFrame) -> DataFrame:
+    """Rows with text that have no place of their own: ``(source_id, row_number, fault, n)``.
+
+    Such rows cannot be ordered: those without a place are in no output, and of several in
+    one place any could come first. One aggregate, folded before the shuffle.
+    """
+    row = F.col("row_number")
+    fault = (
+        F.when(F.col("source_id").isNull(), "no source")
+        .when(row.isNull(), "no row number")
+        .when((row < 1) | (row > MAX_ROW), "row number out of range")
+        .when(F.col("n") > 1, "repeated row number")
+    )
+    places = sheets.where(_filled(sheets)).select("source_id", row.cast("long").alias("row_number"))
+    counted = places.groupBy("source_id", "row_number").agg(F.count(F.lit(1)).alias("n"))
+    found = counted.select("source_id", "row_number", fault.alias("fault"), "n")
+    return found.where(F.col("fault").isNotNull())
+
+
 def classified_rows(sheets: DataFrame) -> DataFrame:
     """Clean and classify rows; blank rows are gone, headers and totals are marked.
 
@@ -46,9 +70,7 @@ def classified_rows(sheets: DataFrame) -> DataFrame:
     below the projection and run the NFKC hop a second time.
     """
     raw = sheets.where(F.col("source_id").isNotNull() & F.col("row_number").isNotNull())
-    raw = raw.where(
-        has_text(cell_text(sheets, "serial")) | has_text(cell_text(sheets, "name"), besides=BOM)
-    )
+    raw = raw.where(_filled(sheets))
     cleaned = raw.select(
         "source_id",
         F.col("row_number").cast("long").alias("row_number"),

@@ -19,17 +19,25 @@ _CODE_POINT_BITS = 21
 
 
 def model_vectors(
-    load_encoder: Callable[[], Encode],
+    load_encoder: Callable[..., Encode],
     *,
     batch_size: int = 64,
     max_length: int = 64,
+    device: str | None = None,
+    use_fp16: bool | None = None,
+    tasks: int | None = None,
 ) -> VectorProvider:
     """Provider that runs ``encode(texts, batch_size=, max_length=)`` over distinct names.
 
-    ``load_encoder`` runs once per task, so a model is loaded next to the data it
-    encodes. The result is materialised: encoding is the costliest step of a run and
-    need not be repeatable.
+    ``load_encoder`` runs once per task, so a model is loaded next to the data it encodes;
+    ``device`` and ``use_fp16`` are handed to it when given. Names are few bytes and much
+    work, so they are spread over ``tasks`` tasks (by default the shuffle partitions),
+    whatever their size. The result is materialised: encoding is the costliest step of a run
+    and need not be repeatable. ``provider.options`` holds what a run stores.
     """
+    if batch_size <= 0 or max_length <= 0:
+        raise ValueError("batch_size and max_length must be positive")
+    model = {k: v for k, v in {"device": device, "use_fp16": use_fp16}.items() if v is not None}
 
     def encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = None
@@ -37,7 +45,7 @@ def model_vectors(
             texts = batch.column(0).to_pylist()
             for start in range(0, len(texts), batch_size):
                 part = texts[start : start + batch_size]
-                encode = encode or load_encoder()
+                encode = encode or load_encoder(**model)
                 matrix = np.asarray(
                     encode(part, batch_size=batch_size, max_length=max_length), dtype=np.float32
                 )
@@ -48,8 +56,11 @@ def model_vectors(
                 yield pa.RecordBatch.from_arrays([pa.array(part), vectors], ["norm_name", "vec"])
 
     def provide(names: DataFrame) -> DataFrame:
-        return materialize(names.mapInArrow(encode_batches, VECTOR_SCHEMA))
+        spread = tasks or int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread_names = names.repartition(spread, "norm_name")
+        return materialize(spread_names.mapInArrow(encode_batches, VECTOR_SCHEMA))
 
+    provide.options = {"batch_size": batch_size, "max_length": max_length, **model}
     return provide
 
 

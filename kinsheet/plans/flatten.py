@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinsheet.functions.text import BOM, display_name, quoted
-from kinsheet.operators.outline import CHUNK_BITS, classified_rows, header_rows, with_state
+from kinsheet.operators.outline import CHUNK_BITS, classified_rows, header_rows, row_faults, with_state
 from kinsheet.operators.sequence import with_sequence
 from kinsheet.schemas import (
     EXCLUDED_HEADERS,
@@ -31,6 +31,7 @@ class FlattenResult:
     excluded: DataFrame
     issues: DataFrame
     counts: DataFrame
+    faults: DataFrame  # rows without a place of their own, see ``row_faults``
 
 
 def flatten_hierarchy(
@@ -45,8 +46,9 @@ def flatten_hierarchy(
     """Flatten sheets ``(source_id, row_number, serial, name)``.
 
     ``group_id`` is one group for all sheets, or a column such as ``source_id``.
-    ``source_id`` picks one sheet. With ``check`` a missing sheet or header and broken
-    ids raise; with ``strict`` the first issue raises too. Without both, the plan stays lazy.
+    ``source_id`` picks one sheet. With ``check`` a missing sheet or header, rows without a
+    place of their own and broken ids raise; ids are unique in a group, so several sheets need
+    a group each. With ``strict`` the first issue raises too. Without both, the plan stays lazy.
     """
     for column in ("source_id", "row_number", "serial", "name"):
         if column not in sheets.columns:
@@ -57,6 +59,7 @@ def flatten_hierarchy(
         raise HierarchyError("group_id must not be blank")
     if check:
         _require_headers(sheets, source_id)
+        _require_places(sheets)
     group = display_name(F.lit(group_id) if isinstance(group_id, str) else group_id)
     states = with_state(classified_rows(sheets), chunk_bits)
     if check or strict:
@@ -66,6 +69,7 @@ def flatten_hierarchy(
         excluded=_excluded(states),
         issues=_issues(states),
         counts=_counts(states),
+        faults=row_faults(sheets),
     )
     if strict:
         first = result.issues.orderBy("source_id", "row_number").limit(1).collect()
@@ -87,8 +91,14 @@ def _require_headers(sheets: DataFrame, source_id: str | None) -> None:
     missing = heads.where(F.col("header_row").isNull()).orderBy("source_id").limit(20).collect()
     if missing:
         raise HierarchyError(f"no header row in sheets {[r['source_id'] for r in missing]}")
-    if source_id is not None and heads.isEmpty():
-        raise HierarchyError(f"no such sheet: {source_id}")
+    if heads.isEmpty():
+        raise HierarchyError("no sheet" if source_id is None else f"no such sheet: {source_id}")
+
+
+def _require_places(sheets: DataFrame) -> None:
+    first = row_faults(sheets).orderBy("fault", "source_id", "row_number").limit(20).collect()
+    if first:
+        raise HierarchyError(f"rows without a place of their own: {[tuple(r) for r in first]}")
 
 
 def _is_output(states: DataFrame) -> Column:
@@ -153,7 +163,7 @@ def _require_integrity(result: FlattenResult) -> None:
     entity = F.when(is_module, F.col("module_id")).otherwise(F.col("software_id"))
     name = F.when(is_module, F.col("module_name")).otherwise(F.col("software_name"))
     per_id = (
-        result.records.groupBy("source_id", is_module.alias("is_module"), entity.alias("entity"))
+        result.records.groupBy("group_id", is_module.alias("is_module"), entity.alias("entity"))
         .agg(
             F.count(F.lit(1)).alias("rows"),
             F.count_if((entity == "") | (name == "")).alias("blank"),

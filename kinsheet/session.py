@@ -35,3 +35,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
     return fs.exists(hadoop_path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path in full, with its file system, so that two can be compared."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.makeQualified(hadoop_path).toString().rstrip("/")

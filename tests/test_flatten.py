@@ -183,3 +183,39 @@ def test_chunk_size_never_changes_the_result(spark, seed):
     for bits in (5, 7, 14):
         result = flatten_hierarchy(table, chunk_bits=bits)
         assert [r[1:] for r in records(result)] == expected
+
+
+LOOSE_SHEET = "source_id string, row_number long, serial string, name string"
+
+
+@pytest.mark.parametrize(
+    ("row", "fault"),
+    [
+        (("a", None, "3", "软件三"), "no row number"),
+        ((None, 9, "3", "软件三"), "no source"),
+        (("a", 5, "3", "软件三"), "repeated row number"),
+        (("a", 0, "3", "软件三"), "row number out of range"),
+        (("a", 1 << 40, "3", "软件三"), "row number out of range"),
+    ],
+)
+def test_rows_without_a_place_are_refused(spark, row, fault):
+    rows = sheet(spark, SAMPLE, "a").unionByName(spark.createDataFrame([row], LOOSE_SHEET))
+    with pytest.raises(HierarchyError, match=fault):
+        flatten_hierarchy(rows)
+    (found,) = flatten_hierarchy(rows, check=False).faults.collect()
+    assert (found["source_id"], found["row_number"], found["fault"]) == (*row[:2], fault)
+
+
+def test_blank_rows_need_no_place(spark):
+    blank = spark.createDataFrame([("a", None, " ", None)], LOOSE_SHEET)
+    rows = sheet(spark, SAMPLE, "a").unionByName(blank)
+    assert flatten_hierarchy(rows).faults.isEmpty()
+
+
+def test_empty_table_and_sheets_of_one_group_are_refused(spark):
+    with pytest.raises(HierarchyError, match="no sheet"):
+        flatten_hierarchy(sheet(spark, SAMPLE).limit(0))
+    both = sheet(spark, SAMPLE, "a").unionByName(sheet(spark, SAMPLE, "b"))
+    with pytest.raises(HierarchyError, match="duplicate ids"):
+        flatten_hierarchy(both)
+    assert len(records(flatten_hierarchy(both, F.col("source_id")))) == 8

@@ -198,6 +198,19 @@ def test_encoder_gets_distinct_names_in_batches(spark):
     assert {(a[1], b[1]) for a, b, *_ in got} == {("0", "1"), ("0", "2"), ("1", "2"), ("3", "4")}
 
 
+def test_encoder_runs_in_several_tasks(spark):
+    """Few bytes of names are still spread; each task loads its own model."""
+    loads = spark.sparkContext.accumulator(0)
+
+    def load():
+        loads.add(1)
+        return lambda texts, *, batch_size, max_length: np.ones((len(texts), 2))
+
+    names = spark.createDataFrame([(f"n{i}",) for i in range(200)], "norm_name string")
+    assert model_vectors(load, tasks=3)(names).count() == 200
+    assert loads.value == 3
+
+
 # --- against a plain nested loop ---------------------------------------------------------
 
 
