@@ -31,14 +31,18 @@ from kinsheet.llm import common
 
 #: Ids after which a shard is closed; a longer document is a shard of its own.
 SHARD_TOKENS = 1 << 20
+#: Text bytes encoded at once: the more, the fewer words are looked up again.
+SLICE_BYTES = 6 << 20
 #: A round replaces the pairs at least this share as frequent as its most frequent one.
 ROUND_SHARE = 1 / 64
 #: Rarest pair worth a rule of two symbols and a length.
 LEAST_PAIRS = 8
 #: Compression ends with the round that saves less than this share of the symbols.
 LEAST_GAIN = 1 / 32
-#: Words and pieces whose ids a task remembers.
-REMEMBERED = 1 << 19
+#: Words, and pieces of words, whose ids a task remembers.
+WORDS_KEPT, PIECES_KEPT = 1 << 19, 1 << 19
+#: Words whose ids are put in place at once.
+PLACED_WORDS = 1 << 17
 
 SCHEMA = (
     "part int, shard int, doc_id array<bigint>, n_tokens array<bigint>, n_symbols array<bigint>, "
@@ -117,19 +121,27 @@ class WordEncoder:
         marked = [pc.any(pc.match_substring(texts, m, ignore_case=True)).as_py() for m in self.markers]
         flat, counts = common.split_words(texts if any(marked) else pc.ascii_lower(texts))
         coded = flat.dictionary_encode()
-        for held in (self.words, self.pieces):
-            if len(held) > REMEMBERED:
+        for held, most in ((self.pieces, PIECES_KEPT), (self.words, WORDS_KEPT)):
+            if len(held) > most:
                 held.clear()
         distinct = _strings(coded.dictionary)
-        held = self.words
-        self._learn(coded.dictionary.filter(pa.array([w not in held for w in distinct], pa.bool_())))
-        parts = list(map(held.__getitem__, distinct))
+        parts = list(map(self.words.get, distinct))
+        missing = [i for i, part in enumerate(parts) if part is None]
+        if missing:
+            self._learn(coded.dictionary.take(pa.array(missing)))
+            for i in missing:
+                parts[i] = self.words[distinct[i]]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         pool = np.frombuffer(b"".join(parts), dtype="<u4")
+        del parts, distinct, flat
         index = coded.indices.to_numpy()
-        each = sizes[index]
-        ids = pool[common.ranges(common.starts_of(sizes)[index], each)]
-        before = np.concatenate([[0], np.cumsum(each)])
+        first, each = common.starts_of(sizes), sizes[index].astype(np.int32)
+        before = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        ids = np.empty(int(before[-1]), dtype=np.uint32)
+        for start in range(0, len(index), PLACED_WORDS):
+            stop = min(start + PLACED_WORDS, len(index))
+            at = common.ranges(first[index[start:stop]], each[start:stop])
+            ids[before[start] : before[stop]] = pool[at]
         ends = np.cumsum(counts)
         return ids, before[ends] - before[ends - counts]
 
@@ -306,7 +318,7 @@ def encode_shards(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFram
             )
 
         for batch in batches:
-            for piece in common.slices(batch, "text", 2 * common.SLICE_BYTES):
+            for piece in common.slices(batch, "text", SLICE_BYTES):
                 found, n = coder.encode(piece.column("text"))
                 full = np.empty(len(found) + len(n), dtype=np.uint32)
                 ends = np.cumsum(n + 1) - 1
@@ -321,6 +333,7 @@ def encode_shards(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFram
                     yield closed()
                     doc_ids, sizes, ids, count = [], [], [], 0
                     number += 1
+                    pa.default_memory_pool().release_unused()
         if doc_ids:
             yield closed()
 
