@@ -28,6 +28,30 @@ _QUERY_COLUMNS = ["level", "part", "a_name", "group_id", "object_id"]
 _FOUND_COLUMNS = [field.split()[0] for field in FOUND_SCHEMA.split(", ")]
 
 
+def best_for_one(candidates: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
+    """The same as ``best_later`` for keys with one query each: a join and a ranked window."""
+    key = ["level", "part", "a_name"]
+    asked = queries.select(
+        *key,
+        F.col("group_id").alias("a_group"),
+        F.col("object_id").alias("a_object"),
+        F.struct("p1", "p2").alias("asked_at"),
+    )
+    best_first = Window.partitionBy(*key).orderBy(F.desc("score"), "group_id", "object_id")
+    later = candidates.join(asked, key).where(F.struct("p1", "p2") > F.col("asked_at"))
+    ranked = later.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= top_k)
+    return ranked.select(
+        *key,
+        "a_group",
+        "a_object",
+        "rank",
+        "score",
+        F.col("group_id").alias("b_group"),
+        F.col("object_id").alias("b_object"),
+        "b_name",
+    )
+
+
 def best_later(
     candidates: DataFrame, queries: DataFrame, top_k: int, range_bits: int, has_hot: bool
 ) -> DataFrame:

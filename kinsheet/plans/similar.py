@@ -12,7 +12,7 @@ from kinsheet.functions.scoring import (
     reaches,
 )
 from kinsheet.operators.grid import BLOCK_ROWS, STATS, score_names
-from kinsheet.operators.nearest import best_later
+from kinsheet.operators.nearest import best_for_one, best_later
 from kinsheet.operators.objects import extract_objects, group_order, with_norm_name
 from kinsheet.operators.scope import Scope, make_scope, parse_levels, require_groups
 from kinsheet.operators.vectors import (
@@ -284,16 +284,24 @@ def _useful(pairs: DataFrame, top_k: int, merge: bool) -> DataFrame:
         .where((F.col("event.gives") == 0) & (F.col("ahead") < top_k))
     )
     load = F.sum("n_c").over(Window.partitionBy(*left)) + F.col("n_q")
-    return cut.select(*left, "b_name", "score", load.alias("load"))
+    return cut.select(*left, "b_name", "score", "n_q", load.alias("load"))
 
 
 # --- objects ---------------------------------------------------------------------------
 
 
 def _hits(placed, pairs, scope, top_k, range_bits) -> DataFrame:
-    """Expand name pairs to the best ``top_k`` objects for every query."""
-    hot = F.col("load") > F.lit(1 << range_bits)
-    pairs = pairs.select("level", "part", "a_name", "b_name", "score", hot.alias("hot"))
+    """Expand name pairs to the best ``top_k`` objects for every query.
+
+    A name with one object asks once: its candidates are a plain join, cut by a ranked
+    window. Only names with several objects are scanned, so that no query meets every
+    candidate.
+    """
+    single = F.col("n_q") == 1
+    hot = ~single & (F.col("load") > F.lit(1 << range_bits))
+    pairs = pairs.select(
+        "level", "part", "a_name", "b_name", "score", single.alias("single"), hot.alias("hot")
+    )
     has_hot = not pairs.where("hot").isEmpty()
     by_object = ["group_id", "object_id"]
     if scope.directed:
@@ -318,9 +326,11 @@ def _hits(placed, pairs, scope, top_k, range_bits) -> DataFrame:
     )
     if query != by_object:
         asking = asking.distinct()
-    queried = pairs.select("level", "part", F.col("a_name").alias("name"), "hot").distinct()
-    queries = asking.join(queried, NAME_KEY).withColumnRenamed("name", "a_name")
-    return best_later(candidates, queries, top_k, range_bits, has_hot)
+    queried = pairs.select("level", "part", F.col("a_name").alias("name"), "single", "hot")
+    queries = asking.join(queried.distinct(), NAME_KEY).withColumnRenamed("name", "a_name")
+    by_join = best_for_one(candidates.where("single"), queries.where("single"), top_k)
+    several = candidates.where("NOT single").drop("single"), queries.where("NOT single").drop("single")
+    return by_join.union(best_later(*several, top_k, range_bits, has_hot))
 
 
 def _first_objects(placed: DataFrame, key: list[str], top_k: int) -> DataFrame:
