@@ -340,8 +340,12 @@ def template_rows(count, order):
     ]
 
 
-@pytest.mark.parametrize(("mode", "scope"), MODES)
-@pytest.mark.parametrize("order", ["along", "against", "random"])
+TIES = [(mode, scope, "random") for mode, scope in MODES]
+
+
+@pytest.mark.parametrize(
+    ("mode", "scope", "order"), [*TIES, ("within", {}, "along"), ("all", {}, "against")]
+)
 def test_ties_equal_nested_loop(spark, mode, scope, order):
     rows = template_rows(60, order)
     # some names twice, so that partners are not sure to come later
@@ -354,8 +358,7 @@ def test_ties_equal_nested_loop(spark, mode, scope, order):
     assert sorted((a, b, rank, round(s, 9)) for a, b, rank, s, _ in got) == expected
 
 
-@pytest.mark.parametrize(("mode", "scope"), MODES)
-@pytest.mark.parametrize("order", ["along", "against"])
+@pytest.mark.parametrize(("mode", "scope", "order"), [*TIES, ("within", {}, "against")])
 def test_tied_names_store_few_pairs(spark, monkeypatch, mode, scope, order):
     """2,000 names that all score alike leave three pairs a name, not all pairs."""
     stored = []
