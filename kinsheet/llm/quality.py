@@ -187,12 +187,15 @@ def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
     counted = rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").collect()
     pattern = np.array([r["votes"] for r in counted], dtype=np.int64)
     quality = fit_votes(_unpack(pattern), np.array([r["n"] for r in counted], dtype=float))
-    # A plan literal holds the posteriors: one number for each pattern that occurs.
-    known = F.create_map(*[F.lit(x) for p, q in zip(pattern, quality) for x in (int(p), float(q))])
-    found = known[F.col("votes")] if len(pattern) else F.lit(0.0)
+    # One row a pattern that occurs: small by the number of rules, so it is sent to all tasks.
+    known = common.literal_table(
+        docs.sparkSession,
+        [{"votes": int(p), "quality": float(q)} for p, q in zip(pattern, quality)],
+        "votes long, quality double",
+    )
     failed = (F.col("n_words") < LEAST_WORDS) | (
         F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")
     )
-    return rows.select(
-        "doc_id", *BASE, failed.alias("base_failed"), found.alias("quality")
-    ).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
+    found = rows.join(F.broadcast(known), "votes")
+    found = found.select("doc_id", *BASE, failed.alias("base_failed"), "quality")
+    return found.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
