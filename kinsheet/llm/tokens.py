@@ -39,8 +39,8 @@ ROUND_SHARE = 1 / 64
 LEAST_PAIRS = 8
 #: Compression ends with the round that saves less than this share of the symbols.
 LEAST_GAIN = 1 / 32
-#: Words, and pieces of words, whose ids a task remembers.
-WORDS_KEPT, PIECES_KEPT = 1 << 19, 1 << 19
+#: Words, and as many pieces of words, whose ids a worker remembers.
+WORDS_KEPT = 1 << 19
 #: Words whose ids are put in place at once.
 PLACED_WORDS = 1 << 17
 
@@ -78,7 +78,7 @@ class WordEncoder:
     the tokenizer's model; all others, and words with its marker strings, go through it whole.
     """
 
-    def __init__(self, tokenizer_file: str):
+    def __init__(self, tokenizer_file: str, words_kept: int = WORDS_KEPT):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(tokenizer_file)
@@ -86,6 +86,7 @@ class WordEncoder:
         self.vocabulary = self.whole.get_vocab_size()
         self.letters = _byte_letters()
         self.markers = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.words_kept = words_kept
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -121,8 +122,8 @@ class WordEncoder:
         marked = [pc.any(pc.match_substring(texts, m, ignore_case=True)).as_py() for m in self.markers]
         flat, counts = common.split_words(texts if any(marked) else pc.ascii_lower(texts))
         coded = flat.dictionary_encode()
-        for held, most in ((self.pieces, PIECES_KEPT), (self.words, WORDS_KEPT)):
-            if len(held) > most:
+        for held in (self.pieces, self.words):
+            if len(held) > self.words_kept:
                 held.clear()
         distinct = _strings(coded.dictionary)
         parts = list(map(self.words.get, distinct))
@@ -149,10 +150,11 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(tokenizer_file: str) -> WordEncoder:
+def encoder(tokenizer_file: str, words_kept: int = WORDS_KEPT) -> WordEncoder:
     """One encoder a worker process, kept between its tasks."""
     if tokenizer_file not in _encoders:
         _encoders[tokenizer_file] = WordEncoder(tokenizer_file)
+    _encoders[tokenizer_file].words_kept = words_kept
     return _encoders[tokenizer_file]
 
 
@@ -295,7 +297,9 @@ ARROW = pa.schema(
 )
 
 
-def encode_shards(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
+def encode_shards(
+    docs: DataFrame, tokenizer_file: str, end_id: int, words_kept: int = WORDS_KEPT
+) -> DataFrame:
     """Shards of all documents, ordered by ``doc_id`` over ``(part, shard)``.
 
     A null text is an empty one and gives the end id alone. Null ids come first; repeated rows
@@ -307,7 +311,7 @@ def encode_shards(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        coder = encoder(tokenizer_file)
+        coder = encoder(tokenizer_file, words_kept)
         base = max(coder.vocabulary, end_id + 1)
         doc_ids, sizes, ids, count = [], [], [], 0
 
@@ -340,8 +344,11 @@ def encode_shards(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFram
     return ordered.mapInArrow(run, SCHEMA)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int) -> None:
-    encode_shards(docs, tokenizer_file, end_id).write.parquet(path)
+def write_tokens(
+    docs: DataFrame, path: str, tokenizer_file: str, end_id: int, words_kept: int = WORDS_KEPT
+) -> None:
+    """Store the shards; ``words_kept`` trades a worker's memory for encoding words again."""
+    encode_shards(docs, tokenizer_file, end_id, words_kept).write.parquet(path)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
