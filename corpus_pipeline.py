@@ -12,6 +12,8 @@ from kinsheet.session import scratch_folder
 
 SHINGLE_WORDS, RADIUS_BITS = 4, 4
 END_ID = 2
+#: The token stage shares its workers with the other stages: it remembers fewer words.
+WORDS_KEPT = 1 << 17
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all rows, read back: ``(doc_id, start, n_tokens, ids_crc32)``."""
     path = f"{scratch_folder(spark)}/tokens-{uuid.uuid4()}"
-    tokens.write_tokens(docs, path, tokenizer_file(), END_ID)
+    tokens.write_tokens(docs, path, tokenizer_file(), END_ID, WORDS_KEPT)
     index = tokens.document_index(spark.read.parquet(path))
     return index.select("doc_id", "start", "n_tokens", "ids_crc32")
 
