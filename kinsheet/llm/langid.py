@@ -31,9 +31,12 @@ REJECT_SHARE = 0.5
 #: Texts whose vectors are held at once.
 BLOCK_TEXTS = 512
 #: Length classes: powers of two of the number of letters. One with fewer fitted texts than
-#: this says too little about how far a good text may be, and rejects none.
+#: this says too little about how far a good text may be: cut longer texts are added, and what
+#: is still thin takes the floor of the next shorter class.
 CLASSES = 32
 CLASS_TEXTS = 64
+#: Fitted texts a language that are also cut to every shorter length class.
+CUT_TEXTS = 96
 
 _letters: np.ndarray | None = None
 
@@ -104,7 +107,10 @@ def _length_class(letters: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Centroids of each language, document frequencies and the similarity floor by length."""
+    """Centroids of each language, document frequencies and the similarity floors.
+
+    ``floor`` has a row a centroid, that of its language, and a column a length class.
+    """
 
     idf: np.ndarray
     languages: list[str] = field(default_factory=list)
@@ -137,27 +143,77 @@ def _text_frequencies(labelled: DataFrame) -> tuple[np.ndarray, int]:
     return total[:-1], int(total[-1])
 
 
+def _cut_vectors(texts: pa.Array, idf: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(length class, texts, vectors)`` of all longer texts, cut to the fewest letters of it."""
+    codes, owner, letters = _letter_codes(texts)
+    kind = _length_class(letters)
+    seen = np.cumsum(codes > 0)
+    # Letters of a text up to each place: those before the text are taken off.
+    seen -= (np.cumsum(letters) - letters)[owner]
+    for c in range(int(kind.max()) if len(kind) else 0):
+        longer = np.flatnonzero(kind > c)
+        number = np.cumsum(kind > c) - 1
+        keep = (kind > c)[owner] & (seen <= 1 << c)
+        yield c, longer, _weighted(_counts(codes[keep], number[owner[keep]], len(longer)), idf)
+
+
 def _vectors(labelled: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Vectors of the fitted texts, ``cut`` -1, and of the first of them cut to each class."""
+    names = ["lang", "place", "cut", "letters", "vector"]
+
+    def rows(part: pa.RecordBatch, cut: int, letters: np.ndarray, vectors: np.ndarray):
+        return pa.RecordBatch.from_arrays(
+            [
+                part.column("lang"),
+                part.column("place"),
+                pa.array(np.full(len(letters), cut, dtype=np.int32)),
+                pa.array(letters),
+                pa.array([v.tobytes() for v in vectors], pa.binary()),
+            ],
+            names,
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "text"):
                 for start, stop, counts, letters in _blocks(part.column("text")):
-                    vectors = _weighted(counts, idf)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part.column("lang")[start:stop],
-                            part.column("place")[start:stop],
-                            pa.array(letters),
-                            pa.array([v.tobytes() for v in vectors], pa.binary()),
-                        ],
-                        ["lang", "place", "letters", "vector"],
-                    )
-
-    return labelled.select("lang", "place", "text").mapInArrow(
-        run, "lang string, place long, letters long, vector binary"
+                    yield rows(part.slice(start, stop - start), -1, letters, _weighted(counts, idf))
+                first = part.filter(pc.less_equal(part.column("nth"), CUT_TEXTS))
+                for start in range(0, first.num_rows, BLOCK_TEXTS):
+                    block = first.slice(start, BLOCK_TEXTS)
+                    for c, at, vectors in _cut_vectors(block.column("text"), idf):
+                        cut = block.take(pa.array(at))
+                        yield rows(cut, c, np.full(len(at), 1 << c, dtype=np.int64), vectors)
+
+    return labelled.select("lang", "place", "nth", "text").mapInArrow(
+        run, "lang string, place long, cut int, letters long, vector binary"
     )
 
 
+def _quantiles(whole: list[np.ndarray], cut: list[np.ndarray], least: int) -> np.ndarray:
+    """Similarity that all but a hundredth of each length class reach; thin ones as the shorter.
+
+    Classes with ``least`` texts speak for themselves, others together with longer texts cut to
+    their length. NaN up to the first class that has enough.
+    """
+    found = np.full(len(whole), np.nan)
+    for c, (own, shorter) in enumerate(zip(whole, cut)):
+        have = own if len(own) >= least else np.concatenate([own, shorter])
+        if len(have) >= least:
+            found[c] = np.quantile(have, 0.01)
+        elif c:
+            found[c] = found[c - 1]
+    return found
+
+
+def _floors(rows: list) -> np.ndarray:
+    """Floors by centroid and class. A language with few texts, whose centroids lie close to
+    them, has no higher floor than the lowest of the languages with enough."""
+    full, thin = (np.array([r[k] for r in rows], dtype=float) for k in ("floor", "thin"))
+    others = np.where(np.isnan(full), np.inf, full).min(axis=0)
+    return REJECT_SHARE * np.where(np.isnan(full), np.minimum(thin, others), full)
+
+
 def _cluster(vectors: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
     """Spherical k-means from far-apart seeds; rows come in a fixed order, so reruns agree."""
     seeds = [vectors.mean(axis=0)]
@@ -186,8 +242,9 @@ def fit(
 ) -> Model:
     """Learn from text and lang of the rows that are not held out and have both.
 
-    Document frequencies are counted over all of them. Centroids are fitted on ``fit_rows``
-    rows a language, the ones with the smallest id hashes; one task holds one language's.
+    Document frequencies are counted over all of them. Centroids and floors are fitted on
+    ``fit_rows`` rows a language, the ones with the smallest id hashes; one task holds one
+    language's.
     """
     doc_id = F.col(id_col)
     usable = ~held_out(doc_id) & F.col("lang").isNotNull() & F.col("text").isNotNull()
@@ -204,45 +261,49 @@ def fit(
         "nth", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     )
     # Up to 1000 rows a language are cut to the smallest inside each task, before the shuffle.
-    chosen = ranked.where(F.col("nth") <= fit_rows).select("doc_id", "lang", "place").distinct()
-    chosen = materialize(chosen)
+    chosen = ranked.where(F.col("nth") <= fit_rows).groupBy("doc_id", "lang", "place")
+    chosen = materialize(chosen.agg(F.min("nth").alias("nth")))
     if chosen.count() <= SENT_ROWS:
         chosen = F.broadcast(chosen)
     sample = _vectors(labelled.join(chosen, ["doc_id", "lang"]), idf)
     classes = CLASSES
 
     def centres(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["place", "vector"]).head(fit_rows)
-        vectors = np.stack([np.frombuffer(v, dtype=np.float32) for v in group["vector"]])
-        letters = group["letters"].to_numpy()
+        whole = group[group["cut"] < 0].sort_values(["place", "vector"]).head(fit_rows)
+        vectors = np.stack([np.frombuffer(v, dtype=np.float32) for v in whole["vector"]])
+        letters = whole["letters"].to_numpy()
         full = letters > 0
         if not full.any():
-            return pd.DataFrame({"lang": [], "centre": [], "floor": []})
+            return pd.DataFrame({"lang": [], "centre": [], "floor": [], "thin": []})
         vectors, letters = vectors[full], letters[full]
         found = _cluster(vectors, centroids)
-        nearest = np.max(vectors @ found.T, axis=1)
-        kind = _length_class(letters)
-        floor = [
-            float(np.quantile(nearest[kind == c], 0.01)) if (kind == c).sum() >= CLASS_TEXTS else 0.0
-            for c in range(classes)
-        ]
+
+        def by_class(vectors: np.ndarray, kind: np.ndarray) -> list[np.ndarray]:
+            nearest = np.max(vectors @ found.T, axis=1)
+            return [nearest[kind == c] for c in range(classes)]
+
+        own = by_class(vectors, _length_class(letters))
+        short = group[group["cut"] >= 0]
+        joined = np.frombuffer(b"".join(short["vector"]), dtype=np.float32)
+        cut = by_class(joined.reshape(-1, DIMENSIONS), short["cut"].to_numpy())
+        floor, thin = (_quantiles(own, cut, n).tolist() for n in (CLASS_TEXTS, 1))
         return pd.DataFrame(
             {
                 "lang": [group["lang"].iloc[0]] * len(found),
                 "centre": [c.astype(np.float32).tobytes() for c in found],
                 "floor": [floor] * len(found),
+                "thin": [thin] * len(found),
             }
         )
 
     rows = sample.groupBy("lang").applyInPandas(
-        centres, "lang string, centre binary, floor array<double>"
+        centres, "lang string, centre binary, floor array<double>, thin array<double>"
     )
     listed = sorted(rows.collect(), key=lambda r: (r["lang"], r["centre"]))
     if listed:
         model.languages = [r["lang"] for r in listed]
         model.centroids = np.stack([np.frombuffer(r["centre"], dtype=np.float32) for r in listed])
-        floors = np.array([r["floor"] for r in listed])
-        model.floor = REJECT_SHARE * floors.min(axis=0)
+        model.floor = _floors(listed)
     return model
 
 
@@ -260,7 +321,7 @@ def _decide(model: Model, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray
         known = letters > 0
         names += [model.languages[b] if k else UNKNOWN for b, k in zip(best, known)]
         scores[start:stop] = np.where(known, score, 0)
-        rejected[start:stop] = ~known | (score < model.floor[_length_class(letters)])
+        rejected[start:stop] = ~known | (score < model.floor[best, _length_class(letters)])
     return names, scores, rejected
 
 

@@ -47,3 +47,22 @@ def test_nothing_to_learn(no_docs, odd_docs):
     assert {r["lang_pred"] for r in found} == {"und"} and all(r["rejected"] for r in found)
     # odd rows as the lesson: one language with few texts each
     assert langid.fit(odd_docs).languages
+
+
+def test_fitted_floors_reject_in_every_class(spark, documents):
+    """Also short and very long texts, and with a language of few texts among the others."""
+    rare = spark.createDataFrame(
+        [(10**6 + i, "kua mwana wetu jambo habari " * (20 + i), "sw") for i in range(5)],
+        "doc_id long, text string, lang string",
+    )
+    lesson = documents.select("doc_id", "text", "lang").union(rare)
+    model = langid.fit(lesson)
+    assert "sw" in model.languages and model.floor.min() > 0
+    far = [(n, ("Жщъыэюя Ћђљњџѓќ " * 1000)[: n]) for n in (40, 150, 600, 3000, 16_000)]
+    odd = spark.createDataFrame(far, "doc_id long, text string")
+    assert all(r["rejected"] for r in langid.predict(odd, model).collect())
+    good = documents.where("text IS NOT NULL").selectExpr("doc_id", "explode(array(8, 30, 100, 400)) n", "text")
+    good = good.selectExpr("doc_id", "substring(text, 1, n) AS text")
+    found = langid.predict(good, model).collect()
+    assert sum(r["rejected"] for r in found) < 0.01 * len(found)
+    assert langid.keep_known(lesson, model).count() == lesson.count()
