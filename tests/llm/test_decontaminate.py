@@ -94,3 +94,21 @@ def test_retrieval_is_exact():
         (a, i): round(exact[a, i], 9) for a, i in zip(*map(list, np.nonzero(exact >= 0.5 - 1e-9)))
     }
     assert got == {(int(a), int(i)): s for (a, i), s in expected.items()}
+
+
+def test_edited_items_are_found():
+    """Every one-word edit that keeps 0.8 of the item's shingles, wherever the word stands."""
+    rng = random.Random(21)
+    texts = [words(rng, n) for n in range(15, 60, 4)]
+    index = decontaminate.Index(list(range(len(texts))), texts)
+    docs, expected = [], set()
+    for i, text in enumerate(texts):
+        for at in range(len(text.split())):
+            edited = text.split()
+            edited[at] = "zzzz"
+            want = shingles(text)
+            if len(want & shingles(" ".join(edited))) >= 0.8 * len(want):
+                expected.add((len(docs), i))
+            docs.append(f"{words(rng, 50)} {' '.join(edited)} {words(rng, 50)}")
+    found = {(t, i) for t, i, *_ in index.leaks(pa.array(docs))}
+    assert len(expected) > 100 and expected <= found
