@@ -219,8 +219,18 @@ def _fold(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         starts[1:] = (own[1:] != own[:-1]) | (begin[1:] > end[:-1])
         at = np.flatnonzero(starts)
         stop = end[np.append(at[1:], len(own)) - 1]
-        key = np.arange(len(at), dtype=np.uint64) * MULTIPLIER
-        yield _rows(1, key, key, ids[own[at]], versions[own[at]], begin[at], stop - begin[at])
+        own, begin, length = _short_spans(own[at], begin[at], stop - begin[at])
+        key = np.arange(len(own), dtype=np.uint64) * MULTIPLIER
+        yield _rows(1, key, key, ids[own], versions[own], begin, length)
+
+
+def _short_spans(own: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple:
+    """Spans in pieces whose lengths are below ``SPAN``; ``_cut`` joins them again."""
+    most = SPAN - 1
+    pieces = -(-length // most)
+    index = np.repeat(np.arange(len(own)), pieces)
+    ahead = most * common.ranges(np.zeros(len(own), dtype=np.int64), pieces)
+    return own[index], begin[index] + ahead, np.minimum(length[index] - ahead, most)
 
 
 def _rows(kind: int, anchor, body, doc, version, begin, length) -> pa.RecordBatch:

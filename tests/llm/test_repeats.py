@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import words
 from kinsheet.llm import queries, repeats
@@ -94,3 +95,18 @@ def test_windows_are_placed_alike():
         assert start.tolist() == list(range(len(data) - 99))
         placed.append(at[len(before) : len(before) + 301].tolist())
     assert placed[0] == placed[1] == placed[2]
+
+
+@pytest.mark.parametrize("run", [1023, 1024, 1025, 2046, 2047, 5000])
+def test_runs_longer_than_a_span(monkeypatch, run):
+    """A repeated run whose length does not fit into a span is removed as one that fits."""
+    monkeypatch.setattr(repeats, "FOLD_BYTES", 700)
+    text = "b" * 150 + "a" * (run + 1) + "c" * 150
+    part = pa.RecordBatch.from_pydict({"doc_id": [4], "version": [0], "text": [text]})
+    cuts = []
+    for most in (1 << 24, 1 << 10):
+        monkeypatch.setattr(repeats, "SPAN", most)
+        rows = [r for b in repeats._fold(part) for r in b.to_pylist()]
+        spans = [r["span"] for r in rows if r["kind"] == 1]
+        cuts.append(repeats._cut(text.encode(), spans))
+    assert cuts[0][1] > run - 100 and cuts[0] == cuts[1]
