@@ -4,7 +4,8 @@ All texts' windows of ``window`` bytes are dealt to groups by the smallest of th
 their grams, the anchor: equal windows have equal anchors, so a group can be finished alone.
 A run of neighbouring windows with one anchor is a segment. Equal segments are folded to the
 first of them before anything is shuffled or compared. What is left, the different segments
-of one anchor, are the shards whose transforms are merged: see ``interleave``.
+of one anchor, are the shards whose transforms are merged: see ``interleave``. Anchors with too
+many of them for one task are left to their single windows, which are sorted and read as a stream.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ NO_ID = -(1 << 63)
 GRAM = 16
 #: Bytes in which equal segments are folded inside a task. Positions in them need 24 bits.
 FOLD_BYTES = 2 << 20
-#: Segments of one anchor that one task merges; windows of a larger group are dealt by hash.
+#: Segments of one anchor that one task merges; a larger group is compared window by window.
 GROUP_SEGMENTS = 1 << 15
+#: Windows of larger groups whose bytes a task holds at once and folds before the shuffle.
+WINDOW_BLOCK = 1 << 17
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -211,19 +214,23 @@ def _fold(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     kept = ~again
     yield _rows(0, anchor[kept], body[kept], doc[kept], version[kept], begin[kept], length[kept])
     # Neighbouring repeats of a text are one span.
-    own, begin, end = own[again], begin[again], (begin + length)[again]
-    order = np.lexsort((begin, own))
-    own, begin, end = own[order], begin[order], end[order]
+    own, begin, length = _joined(own[again], begin[again], length[again])
     if len(own):
-        starts = np.ones(len(own), dtype=bool)
-        starts[1:] = (own[1:] != own[:-1]) | (begin[1:] > end[:-1])
-        at = np.flatnonzero(starts)
-        stop = end[np.append(at[1:], len(own)) - 1]
-        own, begin, length = _short_spans(own[at], begin[at], stop - begin[at])
         key = np.arange(len(own), dtype=np.uint64) * MULTIPLIER
         yield _rows(1, key, key, ids[own], versions[own], begin, length)
 
 
+def _joined(own: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple:
+    """``(own, begin, length)`` of the joined spans of each text."""
+    order = np.lexsort((begin, own))
+    own, begin, end = own[order], begin[order], (begin + length)[order]
+    starts = np.ones(len(own), dtype=bool)
+    starts[1:] = (own[1:] != own[:-1]) | (begin[1:] > end[:-1])
+    at = np.flatnonzero(starts)
+    stop = end[np.append(at[1:], len(own)) - 1] if len(at) else end
+    return _short_spans(own[at], begin[at], stop - begin[at])
+
+
 def _short_spans(own: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple:
     """Spans in pieces whose lengths are below ``SPAN``; ``_cut`` joins them again."""
     most = SPAN - 1
@@ -291,23 +298,34 @@ def _first_segments(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, SEGMENT)
 
 
+def _wanted(firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Texts with the list of their segments in ``firsts``."""
+    wanted = firsts.groupBy("doc_id", "version").agg(
+        F.collect_list(F.struct("anchor", "span")).alias("wanted")
+    )
+    return docs.join(wanted, ["doc_id", "version"]).select("doc_id", "version", "text", "wanted")
+
+
+def _places(part: pa.RecordBatch) -> tuple:
+    """``(bytes, anchor, owner, begin, place, length)`` of the wanted segments of a batch."""
+    wanted = part.column("wanted")
+    n = np.asarray(pc.list_value_length(wanted), dtype=np.int64)
+    flat = wanted.flatten()
+    owner = np.repeat(np.arange(len(n)), n)
+    span = flat.field("span").to_numpy()
+    texts = part.column("text").cast(pa.binary())
+    sizes = np.asarray(pc.binary_length(texts), dtype=np.int64)
+    begin = span // SPAN
+    place = (np.cumsum(sizes) - sizes)[owner] + begin
+    anchor = flat.field("anchor").to_numpy()
+    return b"".join(texts.to_pylist()), anchor, owner, begin, place, span % SPAN
+
+
 def _bodies(firsts: DataFrame, docs: DataFrame) -> DataFrame:
     """Bytes of the segments that are to be merged, cut out of their texts."""
-    large = (
-        firsts.groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > GROUP_SEGMENTS)
-        .select("anchor", F.ceil(F.col("n") / GROUP_SEGMENTS).cast("int").alias("parts"))
-    )
-    dealt = firsts.join(large, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    wanted = dealt.groupBy("doc_id", "version").agg(
-        F.collect_list(F.struct("anchor", "span", "parts")).alias("wanted")
-    )
-    joined = docs.join(wanted, ["doc_id", "version"]).select("doc_id", "version", "text", "wanted")
     schema = pa.schema(
         [
             ("anchor", pa.int64()),
-            ("part", pa.int32()),
             ("doc_id", pa.int64()),
             ("version", pa.int64()),
             ("start", pa.int64()),
@@ -318,38 +336,12 @@ def _bodies(firsts: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "text"):
-                wanted = part.column("wanted")
-                n = np.asarray(pc.list_value_length(wanted), dtype=np.int64)
-                flat = wanted.flatten()
-                owner = np.repeat(np.arange(len(n)), n)
-                span = flat.field("span").to_numpy()
-                parts = flat.field("parts").to_numpy()
-                texts = part.column("text").cast(pa.binary())
-                sizes = np.asarray(pc.binary_length(texts), dtype=np.int64)
-                data = b"".join(texts.to_pylist())
-                begin = span // SPAN
-                at = (np.cumsum(sizes) - sizes)[owner] + begin
-                length = span % SPAN
-                anchor = flat.field("anchor").to_numpy()
-                number = np.zeros(len(at), dtype=np.int32)
-                if (parts > 1).any():
-                    # Windows of a large group go their own ways, by their own hash.
-                    count = np.where(parts > 1, length - WINDOW + 1, 1)
-                    step = common.ranges(np.zeros(len(count), dtype=np.int64), count)
-                    big = np.repeat(parts > 1, count)
-                    index = np.repeat(np.arange(len(at)), count)
-                    at, begin = at[index] + step, begin[index] + step
-                    length = np.where(big, WINDOW, length[index])
-                    anchor, owner, parts = anchor[index], owner[index], parts[index]
-                    hashed = gram_hashes(np.frombuffer(data, dtype=np.uint8), WINDOW)
-                    pick = hashed[np.where(big, at, 0)] >> np.uint64(16)
-                    number = np.where(big, pick % parts.astype(np.uint64), 0).astype(np.int32)
+                data, anchor, owner, begin, at, length = _places(part)
                 view = memoryview(data)
                 bodies = [bytes(view[a:b]) for a, b in zip(at.tolist(), (at + length).tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(anchor),
-                        pa.array(number),
                         part.column("doc_id").take(pa.array(owner)),
                         part.column("version").take(pa.array(owner)),
                         pa.array(begin),
@@ -358,14 +350,88 @@ def _bodies(firsts: DataFrame, docs: DataFrame) -> DataFrame:
                     schema=schema,
                 )
 
-    return joined.mapInArrow(
-        run, "anchor long, part int, doc_id long, version long, start long, body binary"
+    return _wanted(firsts, docs).mapInArrow(
+        run, "anchor long, doc_id long, version long, start long, body binary"
     )
 
 
+def _folded_windows(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Single windows of the wanted segments: one row with its bytes for the first of equal ones
+    of a block, spans without bytes for the others."""
+    data, _, owner, begin, place, length = _places(part)
+    if not len(owner):
+        return
+    rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, dtype=np.uint8), WINDOW)
+    ids, versions = part.column("doc_id").to_numpy(), part.column("version").to_numpy()
+    stop = np.cumsum(length - WINDOW + 1)
+    for low in range(0, int(stop[-1]), WINDOW_BLOCK):
+        number = np.arange(low, min(low + WINDOW_BLOCK, int(stop[-1])))
+        segment = np.searchsorted(stop, number, side="right")
+        step = number - (stop - (length - WINDOW + 1))[segment]
+        own, start = owner[segment], begin[segment] + step
+        held = np.ascontiguousarray(rows[place[segment] + step])
+        body = pa.FixedSizeBinaryArray.from_buffers(
+            pa.binary(WINDOW), len(held), [None, pa.py_buffer(held)]
+        ).cast(pa.binary())
+        code = body.dictionary_encode().indices.to_numpy()
+        order = np.lexsort((start, versions[own], ids[own], code))
+        first = np.ones(len(order), dtype=bool)
+        first[1:] = code[order][1:] != code[order][:-1]
+        kept, again = order[first], order[~first]
+        yield _window_rows(ids, versions, own[kept], start[kept], WINDOW, body.take(pa.array(kept)))
+        if len(again):
+            spans = _joined(own[again], start[again], np.full(len(again), WINDOW))
+            yield _window_rows(ids, versions, *spans, pa.nulls(len(spans[0]), pa.binary()))
+
+
+def _window_rows(ids, versions, own, begin, length, body) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids[own]), pa.array(versions[own]), pa.array(begin * SPAN + length), body],
+        ["doc_id", "version", "span", "body"],
+    )
+
+
+def _streamed(firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(doc_id, version, span)``: windows of ``firsts`` that an earlier one equals.
+
+    Windows come sorted by their bytes, and only the last one is held, whatever number of equal
+    ones there is. Equality is that of the bytes.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, "text", FOLD_BYTES):
+                yield from _folded_windows(part)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            body = batch.column("body")
+            full = body.is_valid()
+            again = ~np.asarray(full)
+            windows = body.filter(full)
+            if len(windows):
+                same = np.zeros(len(windows), dtype=bool)
+                same[0] = windows[0].as_py() == last
+                same[1:] = np.asarray(pc.equal(windows[1:], windows[:-1]))
+                again[np.asarray(full)] = same
+                last = windows[-1].as_py()
+            if again.any():
+                yield batch.select(["doc_id", "version", "span"]).filter(pa.array(again))
+
+    windows = _wanted(firsts, docs).mapInArrow(
+        fold, "doc_id long, version long, span long, body binary"
+    )
+    # Spans without bytes are spread; equal bytes meet.
+    key = F.when(F.col("body").isNull(), F.xxhash64("doc_id", "span")).otherwise(F.xxhash64("body"))
+    ordered = windows.withColumn("key", key).repartition("key")
+    ordered = ordered.sortWithinPartitions("key", "body", "doc_id", "version", "span").drop("key")
+    return ordered.mapInArrow(run, "doc_id long, version long, span long")
+
+
 def _merged(bodies: DataFrame) -> DataFrame:
     """``(doc_id, version, span)``: what of each segment an earlier one of its group has."""
-    keys = ["anchor", "part"]
+    keys = ["anchor"]
     ordered = bodies.repartition(*keys).sortWithinPartitions(*keys, "doc_id", "version", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,8 +472,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """``(doc_id, version, span)``: bytes that an earlier equal window covers, with overlaps."""
     columns = ["kind", "anchor", "doc_id", "version", "span"]
     found = materialize(_first_segments(_segments(docs)).select(*columns))
-    merged = _merged(_bodies(found.where("kind = 2").drop("kind"), docs))
-    return found.where("kind = 1").select("doc_id", "version", "span").union(merged)
+    firsts = found.where("kind = 2").drop("kind")
+    counted = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    large = counted.where(F.col("n") > GROUP_SEGMENTS).select("anchor")
+    known = found.where("kind = 1").select("doc_id", "version", "span")
+    if large.isEmpty():
+        return known.union(_merged(_bodies(firsts, docs)))
+    streamed = _streamed(firsts.join(large, "anchor", "left_semi"), docs)
+    merged = _merged(_bodies(firsts.join(large, "anchor", "left_anti"), docs))
+    return known.union(merged).union(streamed)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -110,3 +110,30 @@ def test_runs_longer_than_a_span(monkeypatch, run):
         spans = [r["span"] for r in rows if r["kind"] == 1]
         cuts.append(repeats._cut(text.encode(), spans))
     assert cuts[0][1] > run - 100 and cuts[0] == cuts[1]
+
+
+def test_windows_of_large_groups_are_folded(spark, monkeypatch):
+    """A passage in many documents, with other bytes around it, is one row a window and task."""
+    rng = random.Random(14)
+    shared = words(rng, 40)[:150]
+    rows = [(i, words(rng, 5) + shared + words(rng, 5)) for i in range(80)]
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "doc_id": [i for i, _ in rows],
+            "version": [0] * len(rows),
+            "text": [t for _, t in rows],
+            "wanted": [[{"anchor": 1, "span": len(t)}] for _, t in rows],
+        }
+    )
+    out = [r for b in repeats._folded_windows(batch) for r in b.to_pylist()]
+    bodies = [r["body"] for r in out if r["body"] is not None]
+    assert len(bodies) == len(set(bodies))
+    spans = {}
+    for r in out:
+        if r["body"] is None:
+            spans.setdefault(r["doc_id"], []).append(r["span"])
+    expected = brute(rows)
+    assert {i: repeats._cut(t.encode(), spans.get(i))[:4] for i, t in rows} == expected
+    monkeypatch.setattr(repeats, "GROUP_SEGMENTS", 2)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert results(repeats.remove_repeats(frame)) == expected
