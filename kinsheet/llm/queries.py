@@ -7,7 +7,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinsheet.llm import chat, decontaminate, langid, licenses, mix, quality, repeats, simhash, tokens, warc
+from kinsheet.llm import (
+    chat,
+    decontaminate,
+    langid,
+    licenses,
+    mix,
+    quality,
+    repeats,
+    ring,
+    simhash,
+    spelling,
+    tokens,
+    warc,
+    whiten,
+)
 from kinsheet.llm.common import read_table
 from kinsheet.session import scratch_folder
 
@@ -134,6 +148,31 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(document_paths(read_table(spark, sf_dir, "documents")))
 
 
+RING_SHARDS = 8
+
+
+def op11_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = ring.shard_rows(read_table(spark, sf_dir, "documents"), RING_SHARDS)
+    return dealt.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whitened(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(read_table(spark, sf_dir, "documents"))
+    return spelling.group_variants(words)
+
+
 def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
@@ -146,6 +185,9 @@ def queries() -> dict:
         "op8_quality": op8_quality,
         "op9_warc": op9_warc,
         "op10_licenses": op10_licenses,
+        "op11_ring": op11_ring,
+        "op12_whitening": op12_whitening,
+        "op13_spelling": op13_spelling,
     }
 
 
