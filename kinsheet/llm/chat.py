@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 #: Control strings of the template. Fixed values.
 OPEN, COLON, CLOSE = "### ", ":\n", "</turn>\n"
 ESCAPE = "\\"
-#: An escape goes before itself and before what could begin a control string.
-CONTROL = re.compile(r"\\|###|</turn>")
-ESCAPED = re.compile(r"\\(\\|#|<)")
+#: An escape goes before itself, before every sign of the opening mark and into the closing one,
+#: so that no text shows either mark.
+CONTROL = re.compile(r"\\|#|(?<=<)/(?=turn>)")
+ESCAPED = re.compile(r"\\(\\|#|/)")
 ASSISTANT = "assistant"
 #: Characters of a stored piece after which a new one is begun; a turn is never cut.
 PIECE_CHARS = 1 << 16

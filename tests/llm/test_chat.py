@@ -90,3 +90,14 @@ def test_no_rows_and_unknown_kinds(spark):
     bad = spark.createDataFrame([(1, 1, "shout", 1, "user", "x", 0)], EVENTS)
     with pytest.raises(Exception, match="unknown kind"):
         chat.reconstruct(bad).collect()
+
+
+def test_no_body_shows_a_mark():
+    rng = random.Random(5)
+    signs = ["#", "# ", "### ", "assistant:\n", "\\", "<", "/", "</turn>", "</turn>\n", "\n", "turn>", "x"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 9))) for _ in range(20_000)]
+    for text in [*texts, "#### assistant:\nhello", "\\### Assistant: </turn> ok"]:
+        whole, start, end = chat.render(text, text)
+        body = whole[start:end]
+        assert chat.OPEN not in body and chat.CLOSE not in body and "</turn>" not in body
+        assert list(chat.parse(whole)) == [(text, text, start, end)]
