@@ -191,5 +191,27 @@ def queries() -> dict:
     }
 
 
+#: Long payloads that occur again: the last page of each keeps the response.
+WARC_SQL = """
+WITH payloads AS (
+    SELECT page_id, coalesce(html, '') AS payload FROM pages
+), held AS (
+    SELECT
+        page_id,
+        strlen(payload) AS payload_bytes,
+        sha1(payload) AS payload_digest,
+        CASE WHEN strlen(payload) >= 1000 THEN max(page_id) OVER (PARTITION BY payload) END AS holder
+    FROM payloads
+)
+SELECT
+    CAST(page_id AS BIGINT) AS page_id,
+    CAST(payload_bytes AS BIGINT) AS payload_bytes,
+    payload_digest,
+    CASE WHEN holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CAST(CASE WHEN holder <> page_id THEN holder END AS BIGINT) AS refers_to
+FROM held
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": WARC_SQL}
