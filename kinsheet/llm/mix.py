@@ -230,9 +230,18 @@ class Mix:
         )
 
     def taken(self) -> DataFrame:
-        """``(doc_id, size, source, source_size, target, taken)``, one row a document."""
-        words = self.draws.groupBy(*KEY).agg(F.sum("words").alias("taken"))
-        words = words.select(*[F.col(k).alias(f"_{k}") for k in KEY], "taken")
+        """``(doc_id, size, source, source_size, target, taken, first_shard, last_shard)``.
+
+        One row a document; the shards are the lowest and highest that hold some of it, null
+        for a document that the mix does not take.
+        """
+        words = self.draws.groupBy(*KEY).agg(
+            F.sum("words").alias("taken"),
+            F.min("shard").alias("first_shard"),
+            F.max("shard").alias("last_shard"),
+        )
+        held = ["taken", "first_shard", "last_shard"]
+        words = words.select(*[F.col(k).alias(f"_{k}") for k in KEY], *held)
         aims = self.sources.select(F.col("source").alias("_from"), "source_size", "target")
         return (
             self.sizes.join(words, _same_key(self.sizes, words), "left")
@@ -244,6 +253,8 @@ class Mix:
                 "source_size",
                 "target",
                 F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+                "first_shard",
+                "last_shard",
             )
         )
 

@@ -97,7 +97,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix.Mix(read_table(spark, sf_dir, "documents"), SEED).taken()
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+    shards = ["first_shard", "last_shard"]
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", *shards)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

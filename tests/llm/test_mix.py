@@ -79,3 +79,20 @@ def test_mixed_documents(odd_docs):
     for r in mixed.collect():
         words[r["doc_id"]] += len(split(r["text"]))
     assert words == Counter({i: n for i, n in plan.items() if n})
+
+
+def test_documents_know_their_shards(odd_docs, monkeypatch):
+    """The shards of a document are those of its draws, as the tree dealt them."""
+    monkeypatch.setattr(mix, "SHARD_BLOCKS", 40)
+    plan = mix.Mix(odd_docs, 1)
+    held = defaultdict(set)
+    for r in plan.draws.collect():
+        held[r["doc_id"]].add(r["shard"])
+    assert len(set().union(*held.values())) == plan.shards
+    spans = defaultdict(set)
+    for r in plan.taken().collect():
+        assert (r["first_shard"] is None) == (r["taken"] == 0)
+        if r["taken"]:
+            spans[r["doc_id"]] |= {r["first_shard"], r["last_shard"]}
+    assert spans.keys() == held.keys()
+    assert all(spans[i] <= s and {min(s), max(s)} <= spans[i] for i, s in held.items())
