@@ -30,15 +30,15 @@ from pyspark.sql import functions as F
 from kinsheet.llm import common
 
 #: Ids after which a shard is closed; a longer document is a shard of its own.
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 18
 #: Text bytes encoded at once: the more, the fewer words are looked up again.
 SLICE_BYTES = 6 << 20
 #: A round replaces the pairs at least this share as frequent as its most frequent one.
 ROUND_SHARE = 1 / 64
-#: Rarest pair worth a rule of two symbols and a length.
-LEAST_PAIRS = 8
-#: Compression ends with the round that saves less than this share of the symbols.
-LEAST_GAIN = 1 / 32
+#: A rule is two symbols and a length, an occurrence saves one symbol: the fourth one pays.
+LEAST_PAIRS = 4
+#: Ids up to which a rule's expansion is written out for decoding.
+SHORT_RULE = 64
 #: Words, and as many pieces of words, whose ids a worker remembers.
 WORDS_KEPT = 1 << 19
 #: Words whose ids are put in place at once.
@@ -111,7 +111,8 @@ class WordEncoder:
             ends = (4 * np.cumsum(np.bincount(owner, minlength=len(new)))).tolist()
             known.update(zip(new, map(ids.__getitem__, map(slice, [0, *ends], ends))))
         find = known.__getitem__
-        self.words.update(zip(latin, (b"".join(map(find, ps)) for ps in cut)))
+        ids = (find(ps[0]) if len(ps) == 1 else b"".join(map(find, ps)) for ps in cut)
+        self.words.update(zip(latin, ids))
         rest = _strings(words.filter(pa.array(~plain)))
         for w, coded in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
             self.words[w] = np.array(coded.ids, dtype="<u4").tobytes()
@@ -161,75 +162,166 @@ def encoder(tokenizer_file: str, words_kept: int = WORDS_KEPT) -> WordEncoder:
 # Grammar -------------------------------------------------------------------------------------
 
 
+def _overlapping(key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Every second place in a run of one symbol: the places of one pair never overlap."""
+    second = np.zeros(len(key), dtype=bool)
+    same = np.flatnonzero((key >> np.uint64(32)) == (key & np.uint64(0xFFFFFFFF)))
+    if len(same):
+        first = np.flatnonzero((np.diff(at[same], prepend=-2) > 1) | (np.diff(key[same], prepend=~key[:1]) != 0))
+        nth = np.arange(len(same)) - np.repeat(first, np.diff(np.append(first, len(same))))
+        second[same[nth % 2 == 1]] = True
+    return second
+
+
+def _without_overlap(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Places left when the pairs are replaced one by one, the smallest rank first."""
+    taken = np.zeros(len(at), dtype=bool)
+    rest = np.arange(len(at))
+    while len(rest):
+        meets, r = np.diff(at[rest]) == 1, rank[rest]
+        wins = np.ones(len(rest), dtype=bool)
+        wins[1:] &= ~(meets & (r[:-1] < r[1:]))
+        wins[:-1] &= ~(meets & (r[1:] < r[:-1]))
+        gone = wins.copy()
+        gone[1:] |= meets & wins[:-1]
+        gone[:-1] |= meets & wins[1:]
+        taken[rest[wins]] = True
+        rest = rest[~gone]
+    return taken
+
+
+def best_pairs(
+    seq: np.ndarray, open_: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(pairs, at, which, rare)``: pairs to replace, where, which one, and spent places.
+
+    ``open_`` marks the places that begin a pair. Counts are exact: places whose hash slot has
+    too few pairs of any kind are ``rare`` for good, all others are sorted. Equal counts are
+    ordered by the hash. Of pairs that share a slot the most frequent is replaced, the others
+    wait for the next round, as do pairs whose overlaps with better ones leave too few places.
+    """
+    where = np.flatnonzero(open_)
+    key = (seq[where].astype(np.uint64) << np.uint64(32)) | seq[where + 1]
+    bits = max(12, min(18, len(where).bit_length()))
+    shift = np.uint64(64 - bits)
+    hashed = key * np.uint64(0x9E3779B97F4A7C15)
+    slot = (hashed >> shift).view(np.int64)
+    second = _overlapping(key, where)
+    bound = np.bincount(slot[~second] if second.any() else slot, minlength=1 << bits)
+    often = bound[slot] >= LEAST_PAIRS
+    rare = where[~often]
+    live = np.flatnonzero(often & ~second)
+    held = np.sort(hashed[live])
+    edge = np.flatnonzero(np.diff(held, prepend=~held[:1]) != 0)
+    count = np.diff(np.append(edge, len(held)))
+    top = int(count.max(initial=0))
+    if top < LEAST_PAIRS:
+        return key[:0], where[:0], where[:0], rare
+    chosen = np.flatnonzero(count >= max(LEAST_PAIRS, top * ROUND_SHARE))
+    chosen = chosen[np.argsort(-count[chosen], kind="stable")]
+    pair = held[edge[chosen]]
+    rank_of = np.full(1 << bits, -1, dtype=np.int32)
+    rank_of[(pair >> shift).view(np.int64)[::-1]] = np.arange(len(pair))[::-1]
+    rank = rank_of[slot[live]]
+    found = np.flatnonzero(rank >= 0)
+    found = found[pair[rank[found]] == hashed[live[found]]]
+    spot, rank = live[found], rank[found]
+    taken = _without_overlap(where[spot], rank)
+    taken &= (np.bincount(rank[taken], minlength=len(pair)) >= LEAST_PAIRS)[rank]
+    spot, rank = spot[taken], rank[taken]
+    used, which = np.flatnonzero(np.bincount(rank, minlength=len(pair))), np.zeros(len(pair), np.int64)
+    which[used] = np.arange(len(used))
+    pair[rank] = key[spot]
+    return pair[used], where[spot], which[rank], rare
+
+
 def compress(ids: np.ndarray, last: np.ndarray, base: int) -> tuple:
     """Re-Pair in rounds: ``(symbols, last, rules, lengths, rounds)``.
 
-    A round counts the pairs of neighbours, gives a nonterminal to each pair at least
-    ``ROUND_SHARE`` as frequent as the most frequent one, and replaces them from left to
-    right. ``last`` marks the last id of each document; no pair crosses it.
+    A round replaces the most frequent pair, wherever it stands, then the others at least
+    ``ROUND_SHARE`` as frequent; the end is reached when no pair occurs ``LEAST_PAIRS`` times.
+    A pair never gets more frequent (new ones hold a new symbol), so places of rare pairs are
+    looked at again only when a neighbour is replaced. ``last`` marks the last id of each
+    document; no pair crosses it.
     """
-    seq = ids.astype(np.uint32)
+    seq, open_ = ids.astype(np.uint32), ~last
+    open_[-1:] = False
     made: list[np.ndarray] = []
     rounds: list[int] = []
     length = np.ones(base, dtype=np.uint32)
-    while len(seq) > 1:
-        table = 1 << max(12, min(18, (2 * len(seq)).bit_length()))
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        slot = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - table.bit_length())
-        slot = slot.view(np.int64)
-        # One pair owns a slot; rarer ones that share it wait for a later round.
-        owner = np.zeros(table, dtype=np.uint64)
-        owner[slot] = key
-        own = owner[slot] == key
-        own[last[:-1]] = False
-        slot[~own] = table
-        count = np.bincount(slot, minlength=table)[:table]
-        top = int(count.max())
-        if top < LEAST_PAIRS:
+    while True:
+        pair, at, which, rare = best_pairs(seq, open_)
+        if not len(pair):
             break
-        chosen = np.flatnonzero(count >= max(LEAST_PAIRS, top * ROUND_SHARE))
-        symbol = np.zeros(table + 1, dtype=np.uint32)
-        symbol[chosen] = len(length) + np.arange(len(chosen))
-        given = symbol[slot]
-        at = np.flatnonzero(given)
-        fresh = np.ones(len(at), dtype=bool)
-        fresh[1:] = np.diff(at) > 1
-        first = np.flatnonzero(fresh)
-        nth = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-        at = at[nth % 2 == 0]
-        pair = owner[chosen]
         left, right = (pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32)
         made.append(np.stack([left, right], axis=1))
-        rounds.append(len(chosen))
+        rounds.append(len(pair))
+        seq[at] = (len(length) + which).astype(np.uint32)
         length = np.append(length, length[left] + length[right])
-        seq[at] = given[at]
-        last = last.copy()
-        last[at] = last[at + 1]
+        open_[rare] = False
         stays = np.ones(len(seq), dtype=bool)
         stays[at + 1] = False
-        seq, last = seq[stays], last[stays]
-        if len(at) < LEAST_GAIN * len(stays):
-            break
+        last = last.copy()
+        last[at] = last[at + 1]
+        # Both pairs of a new symbol are new, and so may be frequent.
+        fresh = np.zeros(len(seq), dtype=bool)
+        fresh[at] = True
+        seq, last, open_, fresh = seq[stays], last[stays], open_[stays], fresh[stays]
+        open_ |= fresh
+        open_[:-1] |= fresh[1:]
+        open_ &= ~last
+        open_[-1:] = False
     rules = np.concatenate(made) if made else np.zeros((0, 2), np.uint32)
     return seq, last, rules, length[base:], rounds
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int, rounds: list[int]) -> np.ndarray:
-    """Token ids of a run of symbols: the rules of each round, from the last round back."""
-    seq = symbols.astype(np.uint32)
-    high = base + len(rules)
-    for made in reversed(rounds):
-        high -= made
-        pair = seq >= high
-        if not pair.any():
-            continue
-        ends = np.cumsum(1 + pair)
-        out = np.empty(int(ends[-1]), dtype=np.uint32)
-        out[ends[~pair] - 1] = seq[~pair]
-        rule = rules[seq[pair] - base]
-        out[ends[pair] - 2], out[ends[pair] - 1] = rule[:, 0], rule[:, 1]
-        seq = out
-    return seq
+class Rules:
+    """A shard's rules, opened for decoding.
+
+    Short expansions are written out once, end to end, so that a sequence is one gather;
+    symbols of longer ones are first replaced by their pairs, from the last round back.
+    """
+
+    def __init__(self, rules: np.ndarray, lengths: np.ndarray, base: int, rounds: list[int]):
+        self.rules, self.lengths, self.base = rules, lengths.astype(np.int64), base
+        self.short = self.lengths <= SHORT_RULE
+        self.edges = np.concatenate([[0], np.cumsum(rounds, dtype=np.int64)])
+        self.first = common.starts_of(self.lengths * self.short)
+        self.pool = np.zeros(int((self.lengths * self.short).sum()), dtype=np.uint32)
+        for a, b in zip(self.edges[:-1], self.edges[1:]):
+            some = np.flatnonzero(self.short[a:b]) + a
+            self.pool[common.ranges(self.first[some], self.lengths[some])] = self._gather(
+                rules[some].ravel()
+            )
+
+    def _gather(self, seq: np.ndarray) -> np.ndarray:
+        """Ids of token ids and symbols of short rules."""
+        rule = np.flatnonzero(seq >= self.base)
+        number = seq[rule].astype(np.int64) - self.base
+        sizes = np.ones(len(seq), dtype=np.int64)
+        sizes[rule] = self.lengths[number]
+        start = common.starts_of(sizes)
+        out = np.empty(int(sizes.sum()), dtype=np.uint32)
+        out[start] = seq
+        at = common.ranges(start[rule], sizes[rule])
+        out[at] = self.pool[common.ranges(self.first[number], sizes[rule])]
+        return out
+
+    def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """Token ids of a run of symbols."""
+        seq = symbols.astype(np.uint32)
+        for a, b in zip(self.edges[-2::-1], self.edges[:0:-1]):
+            if self.short[a:b].all():
+                continue
+            pair = (seq >= self.base + a) & (seq < self.base + b)
+            pair[pair] = ~self.short[seq[pair] - self.base]
+            ends = np.cumsum(1 + pair)
+            out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint32)
+            out[ends[~pair] - 1] = seq[~pair]
+            rule = self.rules[seq[pair] - self.base]
+            out[ends[pair] - 2], out[ends[pair] - 1] = rule[:, 0], rule[:, 1]
+            seq = out
+        return self._gather(seq)
 
 
 class Shard:
@@ -239,18 +331,19 @@ class Shard:
         self.doc_id = row["doc_id"]
         self.n_tokens = np.asarray(row["n_tokens"], dtype=np.int64)
         self.n_symbols = np.asarray(row["n_symbols"], dtype=np.int64)
-        self.base, self.rounds = row["base"], list(row["rounds"])
-        self.rules = np.frombuffer(row["rules"], dtype="<u4").reshape(-1, 2)
+        self.base = row["base"]
         self.lengths = np.frombuffer(row["lengths"], dtype="<u4")
+        pairs = np.frombuffer(row["rules"], dtype="<u4").reshape(-1, 2)
+        self.rules = Rules(pairs, self.lengths, self.base, list(row["rounds"]))
         self.symbols = np.frombuffer(row["symbols"], dtype=f"<u{row['width']}")
 
     def all(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.base, self.rounds)
+        return self.rules.expand(self.symbols)
 
     def document(self, number: int) -> np.ndarray:
         start = int(self.n_symbols[:number].sum())
         run = self.symbols[start : start + int(self.n_symbols[number])]
-        return expand(run, self.rules, self.base, self.rounds)
+        return self.rules.expand(run)
 
     def range(self, start: int, count: int) -> np.ndarray:
         """``count`` ids of the shard from the id at ``start``: only the symbols they are in."""
@@ -260,7 +353,7 @@ class Shard:
         ends = np.cumsum(sizes)
         a = int(np.searchsorted(ends, start, side="right"))
         b = int(np.searchsorted(ends, start + count, side="left")) + 1
-        ids = expand(self.symbols[a:b], self.rules, self.base, self.rounds)
+        ids = self.rules.expand(self.symbols[a:b])
         skip = start - int(ends[a - 1] if a else 0)
         return ids[skip : skip + count]
 
@@ -329,19 +422,24 @@ def encode_shards(
                 inner = np.ones(len(full), dtype=bool)
                 inner[ends] = False
                 full[inner], full[ends] = found, end_id
-                doc_ids.extend(piece.column("doc_id").to_pylist())
-                sizes.append(n + 1)
-                ids.append(full)
-                count += len(full)
-                if count >= SHARD_TOKENS:
-                    yield closed()
-                    doc_ids, sizes, ids, count = [], [], [], 0
-                    number += 1
-                    pa.default_memory_pool().release_unused()
+                names, edges = piece.column("doc_id").to_pylist(), np.append(0, np.cumsum(n + 1))
+                a = 0
+                while a < len(names):
+                    full_at = edges[a] + SHARD_TOKENS - count
+                    b = min(int(np.searchsorted(edges, full_at)), len(names))
+                    doc_ids.extend(names[a:b])
+                    sizes.append(n[a:b] + 1)
+                    ids.append(full[edges[a] : edges[b]])
+                    count += int(edges[b] - edges[a])
+                    if count >= SHARD_TOKENS:
+                        yield closed()
+                        doc_ids, sizes, ids, count = [], [], [], 0
+                        number += 1
+                    a = b
         if doc_ids:
             yield closed()
 
-    return ordered.mapInArrow(run, SCHEMA)
+    return ordered.mapInArrow(common.lean(run), SCHEMA)
 
 
 def write_tokens(
@@ -380,7 +478,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 )
 
     return shards.mapInArrow(
-        run,
+        common.lean(run),
         "part int, shard int, doc_id long, offset long, n_tokens long, ids_crc32 long",
     )
 

@@ -76,7 +76,7 @@ def test_grammar_round_trip(kind):
     last[::97] = True
     last[-1:] = True
     symbols, ends, rules, lengths, rounds = tokens.compress(ids, last, 100)
-    assert (tokens.expand(symbols, rules, 100, rounds) == ids).all()
+    assert (tokens.Rules(rules, lengths, 100, rounds).expand(symbols) == ids).all()
     if kind in ("runs", "phrases"):
         assert len(symbols) < 0.8 * len(ids) and len(rules)
     sizes = np.diff(np.flatnonzero(last), prepend=-1)
@@ -98,3 +98,65 @@ def test_grammar_round_trip(kind):
         assert (shard.document(n) == ids[edges[n] - sizes[n] : edges[n]]).all()
     for start in range(0, max(len(ids) - 40, 0), 311):
         assert (shard.range(start, 37) == ids[start : start + 37]).all()
+
+
+def plain_counts(seq, last):
+    """Places of each pair without overlap, read from left to right."""
+    counts, free_at = {}, {}
+    for i, pair in enumerate(zip(seq[:-1].tolist(), seq[1:].tolist())):
+        if not last[i] and free_at.get(pair, 0) <= i:
+            counts[pair] = counts.get(pair, 0) + 1
+            free_at[pair] = i + 2
+    return counts
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_each_round_takes_the_most_frequent_pair(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    if seed % 3 == 2:
+        ids = np.tile(np.arange(400), 7)
+    else:
+        ids = rng.zipf(1.3, 6000) % (20 if seed % 2 else 90)
+    ids = ids.astype(np.uint32)
+    last = rng.random(len(ids)) < 0.02
+    last[-1] = True
+    taken = tokens.best_pairs
+    rounds_seen = []
+
+    def watched(seq, open_):
+        found = taken(seq, open_)
+        rounds_seen.append((seq.copy(), found[0], found[1]))
+        return found
+
+    monkeypatch.setattr(tokens, "best_pairs", watched)
+    symbols, ends, rules, lengths, rounds = tokens.compress(ids, last, 1000)
+    assert (tokens.Rules(rules, lengths, 1000, rounds).expand(symbols) == ids).all()
+    assert max(plain_counts(symbols, ends).values(), default=0) < tokens.LEAST_PAIRS
+    assert (rules < 1000 + np.arange(len(rules))[:, None]).all()
+    edges = np.flatnonzero(last)
+    for seq, pairs, at in rounds_seen[:-1]:
+        # Ends of documents, from the ids that each symbol stands for.
+        sizes = np.where(seq < 1000, 1, lengths[np.maximum(seq, 1000) - 1000])
+        marks = np.isin(np.cumsum(sizes) - 1, edges)
+        counts = plain_counts(seq, marks)
+        best = max(counts.values())
+        keys = [(p >> 32, p & 0xFFFFFFFF) for p in pairs.tolist()]
+        assert best in [counts[k] for k in keys] and len(set(keys)) == len(keys)
+        assert min(counts[k] for k in keys) >= max(tokens.LEAST_PAIRS, best * tokens.ROUND_SHARE)
+        first = max(keys, key=lambda k: counts[k])
+        if sum(n == best for n in counts.values()) == 1:
+            replaced = sum((int(seq[i]), int(seq[i + 1])) == first for i in at.tolist())
+            assert replaced == best
+
+
+def test_long_rules_and_many_shards(monkeypatch, spark, tmp_path, tokenizer):
+    rows = [(i, "a long text that comes again " * (40 * (i % 5)) + str(i)) for i in range(60)]
+    monkeypatch.setattr(tokens, "SHARD_TOKENS", 700)
+    path = str(tmp_path / "t")
+    tokens.write_tokens(
+        spark.createDataFrame(rows, "doc_id long, text string"), path, queries.tokenizer_file(), 2
+    )
+    shards = spark.read.parquet(path)
+    assert shards.count() > 3
+    index = tokens.document_index(shards).select("doc_id", "start", "n_tokens", "ids_crc32")
+    assert sorted(tuple(r) for r in index.collect()) == expected(tokenizer, rows)
