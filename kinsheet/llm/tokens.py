@@ -396,11 +396,12 @@ def encode_shards(
     """Shards of all documents, ordered by ``doc_id`` over ``(part, shard)``.
 
     A null text is an empty one and gives the end id alone. Null ids come first; repeated rows
-    stay, next to each other. An empty table gives no shards. Other columns are not read.
+    stay, next to each other; texts of one id are in the order of their hashes. An empty table gives no shards. Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     parts = common.parallelism(docs.sparkSession)
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
