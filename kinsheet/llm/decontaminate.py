@@ -17,7 +17,7 @@ K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage has to reach.
 THRESHOLD = 0.5
 #: Share of the shingles of the item, or of its question and of its answer each, that the
-#: document has to hold.
+#: passage has to hold.
 OVERLAP = 0.8
 SHINGLE = 5
 #: Share of an item's last words that is its answer. Items come as one text, so this cut is a
@@ -52,9 +52,9 @@ def _shingles(ids: np.ndarray) -> set[tuple]:
 class Index:
     """BM25 index of test items with block maxima; impacts are shares of the item's own score."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int | None], texts: list[str]):
         words, counts = words_in(pa.array(texts, pa.string()))
-        self.ids = np.array(ids, dtype=np.int64)
+        self.ids = pa.array(ids, pa.int64())
         coded = words.dictionary_encode()
         self.terms = coded.dictionary
         term = coded.indices.to_numpy().astype(np.int64)
@@ -149,39 +149,45 @@ class Index:
         keys = np.unique(half[known] * size + term[known])
         both = np.unique(np.concatenate([keys, keys + size]))
         at, item, score = self.retrieve(both // size, both % size, total)
-        best: dict[tuple[int, int], float] = {}
+        best: dict[tuple[int, int], tuple] = {}
+        shown, ids, have = -1, term[:0], set()
         for h, i, s in zip(at.tolist(), item.tolist(), score.tolist()):
-            pair = (int(half_of_text[h]), i)
-            best[pair] = max(s, best.get(pair, 0.0))
-        held: dict[int, set] = {}
-        for (t, i), s in sorted(best.items()):
-            ids = term[starts[t] : starts[t] + counts[t]]
-            shares = []
-            for part in self.parts[i]:
-                run = len(next(iter(part))) if part else 0
-                if run == SHINGLE:
-                    if t not in held:
-                        held = {t: _shingles(ids)}
-                    have = held[t] if len(ids) >= SHINGLE else set()
-                else:
-                    listed = ids.tolist()
-                    have = {tuple(listed[j : j + run]) for j in range(len(listed) - run + 1)}
-                shares.append(len(part & have) / len(part) if part else 1.0)
+            t = int(half_of_text[h])
+            if h != shown:
+                stop = (h - int(half_first[t]) + 1) * stride
+                low, high = max(0, stop - 2 * stride), min(int(counts[t]), stop)
+                ids = term[starts[t] + low : starts[t] + high]
+                shown, have = h, _shingles(ids) if len(ids) >= SHINGLE else set()
+            shares = [self._share(part, ids, have) for part in self.parts[i]]
             if shares[2] >= OVERLAP or min(shares[:2]) >= OVERLAP:
-                yield t, i, s, shares[0], shares[1]
+                best[t, i] = max(best.get((t, i), (0.0,)), (s, *shares[:2]))
+        for (t, i), (s, question, answer) in sorted(best.items()):
+            yield t, i, s, question, answer
+
+    @staticmethod
+    def _share(part: set, ids: np.ndarray, have: set) -> float:
+        """Share of an item's shingles that a passage holds."""
+        run = len(next(iter(part))) if part else SHINGLE
+        if run < SHINGLE:
+            listed = ids.tolist()
+            have = {tuple(listed[j : j + run]) for j in range(len(listed) - run + 1)}
+        return len(part & have) / len(part) if part else 1.0
 
 
 def indexes(items: DataFrame, id_col: str = "item_id") -> Iterator[Index]:
-    """Indexes over all items, each of bounded size. Null or empty items match nothing."""
+    """Indexes over all items, each of bounded size.
+
+    Null or empty texts match nothing. An item without an id is one like any other, under null.
+    """
     rows = items.select(
         F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text")
     )
-    ids: list[int] = []
+    ids: list[int | None] = []
     texts: list[str] = []
     size = 0
-    for row in rows.where("id IS NOT NULL").orderBy("id", "text").toLocalIterator():
+    for row in rows.where("text <> ''").orderBy("id", "text").toLocalIterator():
         ids.append(row["id"])
-        texts.append(row["text"] or "")
+        texts.append(row["text"])
         size += len(texts[-1]) + 64
         if size >= INDEX_BYTES:
             yield Index(ids, texts)
@@ -193,9 +199,10 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``(doc_id, item_id, score, question_overlap, answer_overlap)`` of all leaks.
 
     Every passage of every whole text is a query. A leak reaches ``THRESHOLD`` of the item's
-    own BM25 score, and the document holds ``OVERLAP`` of the five-word shingles of the whole
-    item, or of its question and of its answer each. A null or empty text has no leaks; repeated rows repeat
-    them; without items or documents there are none. Only id and text are read.
+    own BM25 score, and the same passage holds ``OVERLAP`` of the five-word shingles of the
+    whole item, or of its question and of its answer each. A null or empty text has no leaks;
+    repeated rows repeat them; without items or documents there are none. An item with a text
+    but no id is reported under null. Only id and text are read.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = (
@@ -203,7 +210,8 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
     found = None
     for index in indexes(items):
-        part = rows.mapInArrow(_finder(docs.sparkSession.sparkContext.broadcast(index)), schema)
+        task = _finder(docs.sparkSession.sparkContext.broadcast(index))
+        part = rows.mapInArrow(common.lean(task), schema)
         found = part if found is None else found.union(part)
     return found
 
@@ -220,7 +228,7 @@ def _finder(index):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.take(pa.array(text)),
-                        pa.array(index.value.ids[item]),
+                        index.value.ids.take(pa.array(item)),
                         pa.array(score),
                         pa.array(question),
                         pa.array(answer),
@@ -247,5 +255,5 @@ def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                     clean[[t for t, *_ in sent.value.leaks(part.column("text"))]] = False
                     yield part.filter(pa.array(clean))
 
-        packed = packed.mapInArrow(run, packed.schema)
+        packed = packed.mapInArrow(common.lean(run), packed.schema)
     return packed.select("row.*")

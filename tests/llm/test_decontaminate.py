@@ -1,3 +1,4 @@
+import math
 import random
 
 import pyarrow as pa
@@ -112,3 +113,72 @@ def test_edited_items_are_found():
             docs.append(f"{words(rng, 50)} {' '.join(edited)} {words(rng, 50)}")
     found = {(t, i) for t, i, *_ in index.leaks(pa.array(docs))}
     assert len(expected) > 100 and expected <= found
+
+
+def test_passages_are_verified_not_documents(spark):
+    """Shingles of an item scattered over a long text are no leak; items without id are."""
+    rng = random.Random(31)
+    items = [(1, words(rng, 40)), (None, words(rng, 30)), (3, words(rng, 4)), (4, None)]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    known = items[0][1].split()
+    pieces = [" ".join(known[i : i + 5]) for i in range(len(known) - 4)]
+    rng.shuffle(pieces)
+    scattered = " ".join(f"{p} {words(rng, 150)}" for p in pieces)
+    docs = [
+        (1, scattered),
+        (2, f"{words(rng, 70)} {items[1][1]} {words(rng, 70)}"),
+        (3, f"{scattered} {items[0][1]} {words(rng, 9)}"),
+        (4, f"{words(rng, 30)} {items[2][1]}"),
+    ]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontaminate.find_leaks(docs, frame).collect()
+    assert sorted(((r["doc_id"], r["item_id"]) for r in found)) == [(2, None), (3, 1), (4, 3)]
+    assert [r["doc_id"] for r in decontaminate.drop_leaks(docs, frame).collect()] == [1]
+
+
+def test_whole_result_against_brute_force():
+    """Every window is scored against every item without maxima, then compared by shingles."""
+    rng = random.Random(41)
+    texts = [words(rng, rng.randint(3, 40)) for _ in range(30)]
+    texts[7] = texts[6]
+    index = decontaminate.Index(list(range(30)), texts)
+    docs = [words(rng, rng.randint(0, 300)) for _ in range(40)]
+    for n, text in enumerate(texts):
+        part = text.split()
+        keep = part if n % 3 else part[rng.randint(0, 3) :]
+        docs.append(" ".join([words(rng, rng.randint(0, 90)), *keep, words(rng, rng.randint(0, 90))]))
+    idf, impact = {}, []
+    bags = [decontaminate.words_in(pa.array([t]))[0].to_pylist() for t in texts]
+    for bag in bags:
+        for w in set(bag):
+            idf[w] = idf.get(w, 0) + 1
+    idf = {w: math.log1p((30 - n + 0.5) / (n + 0.5)) for w, n in idf.items()}
+    mean = sum(map(len, bags)) / 30
+    for bag in bags:
+        norm = 1 - decontaminate.B + decontaminate.B * len(bag) / mean
+        k = decontaminate.K1
+        raw = {w: idf[w] * bag.count(w) * (k + 1) / (bag.count(w) + k * norm) for w in set(bag)}
+        impact.append({w: x / sum(raw.values()) for w, x in raw.items()})
+    longest = max(map(len, bags))
+    stride = longest + -(-longest // 4)
+    expected = set()
+    for d, text in enumerate(docs):
+        ws = decontaminate.words_in(pa.array([text]))[0].to_pylist()
+        for start in range(-stride, len(ws), stride):
+            window = ws[max(0, start) : start + 2 * stride]
+            for i, bag in enumerate(bags):
+                if sum(x for w, x in impact[i].items() if w in set(window)) < 0.5 - 1e-9:
+                    continue
+
+                def share(part):
+                    n = min(5, len(part))
+                    want = {tuple(part[j : j + n]) for j in range(len(part) - n + 1)}
+                    have = {tuple(window[j : j + n]) for j in range(len(window) - n + 1)}
+                    return len(want & have) / len(want)
+
+                split = max(10, round(len(bag) * decontaminate.ANSWER_SHARE))
+                halves = [bag] if len(bag) < 2 * split else [bag[:-split], bag[-split:]]
+                if share(bag) >= 0.8 or min(map(share, halves)) >= 0.8:
+                    expected.add((d, i))
+    found = [(t, i) for t, i, *_ in index.leaks(pa.array(docs))]
+    assert len(expected) > 25 and sorted(expected) == found
