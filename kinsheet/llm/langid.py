@@ -136,7 +136,7 @@ def _text_frequencies(labelled: DataFrame) -> tuple[np.ndarray, int]:
             [pa.array(np.arange(DIMENSIONS + 1)), pa.array(found)], ["dim", "n"]
         )
 
-    rows = labelled.select("text").mapInArrow(run, "dim long, n long")
+    rows = labelled.select("text").mapInArrow(common.lean(run), "dim long, n long")
     total = np.zeros(DIMENSIONS + 1, dtype=np.int64)
     for dim, n in rows.groupBy("dim").agg(F.sum("n")).collect():
         total[dim] = n
@@ -186,7 +186,7 @@ def _vectors(labelled: DataFrame, idf: np.ndarray) -> DataFrame:
                         yield rows(cut, c, np.full(len(at), 1 << c, dtype=np.int64), vectors)
 
     return labelled.select("lang", "place", "nth", "text").mapInArrow(
-        run, "lang string, place long, cut int, letters long, vector binary"
+        common.lean(run), "lang string, place long, cut int, letters long, vector binary"
     )
 
 
@@ -351,7 +351,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    columns = "doc_id long, lang_pred string, score double, rejected boolean"
+    return rows.mapInArrow(common.lean(run), columns)
 
 
 def keep_known(docs: DataFrame, model: Model) -> DataFrame:
@@ -367,4 +368,4 @@ def keep_known(docs: DataFrame, model: Model) -> DataFrame:
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col("text").cast("string").alias("text"),
     )
-    return packed.mapInArrow(run, packed.select("row").schema).select("row.*")
+    return packed.mapInArrow(common.lean(run), packed.select("row").schema).select("row.*")

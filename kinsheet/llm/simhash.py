@@ -79,7 +79,7 @@ def fingerprints(
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
     )
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(common.lean(run), "doc_id long, fp long")
 
 
 def key_masks(pieces: int, radius: int) -> list[int]:
@@ -266,7 +266,7 @@ def near_links(nodes: DataFrame, radius: int = 4, pieces: int | None = None) ->
                 [pa.array(values[linked]), pa.array(values[label[linked]])], ["u", "v"]
             )
 
-    return ordered.mapInArrow(run, "u long, v long").distinct()
+    return ordered.mapInArrow(common.lean(run), "u long, v long").distinct()
 
 
 def near_duplicates(
