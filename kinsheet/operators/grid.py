@@ -1,7 +1,8 @@
 """Blocked all-pairs cosine on distinct names.
 
-Names of one scope are hashed into stripes of bounded size, and every pair of stripes is
-a cell that one task scores with a matrix product. Cells are keyed rows in one shuffle:
+Names of one scope are dealt into stripes of bounded size, and a pair of stripes is a cell
+that one task scores with a matrix product: every pair of hashed stripes, or, for dense
+vectors with centres, the pairs whose stripes are near enough (see ``metric``). Cells are keyed rows in one shuffle:
 no join of names with names is ever planned, no pair below the threshold leaves a task,
 and one hot scope is as many equal cells as its size asks for.
 """
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinsheet.functions.scoring import NORM_FLOOR, THRESHOLD_TOLERANCE
+from kinsheet.operators.metric import metric_stripes
 
 BLOCK_ROWS = 2048
 _STRIPES_WANTED = 128  # large scopes grow their stripes up to _MAX_GROWTH before adding more
@@ -42,6 +44,7 @@ def score_names(
     two_sided: bool,
     sparse: bool,
     block_rows: int = BLOCK_ROWS,
+    centres: np.ndarray | None = None,
 ) -> DataFrame:
     """Score name rows ``(level, part, bucket, side, name, payload, *STATS)``.
 
@@ -49,8 +52,12 @@ def score_names(
     object of ``a_name`` may precede some object of ``b_name``. Within a cell, a name
     keeps only partners that can still matter for its ``top_k`` (see ``_cut``).
     ``two_sided`` pairs side 0 with side 1; otherwise side 0 is paired with itself.
+    With ``centres`` only cells of stripes that are near enough for the threshold are made.
     """
     task = _cell_task(threshold, top_k, two_sided, sparse, block_rows)
+    if centres is not None and len(centres):
+        keyed = _metric_cells(rows, two_sided, block_rows, threshold, centres)
+        return keyed.mapInArrow(task, PAIR_SCHEMA)
     return _cells(rows, two_sided, block_rows, sparse).mapInArrow(task, PAIR_SCHEMA)
 
 
@@ -100,9 +107,48 @@ def _cells(rows: DataFrame, two_sided: bool, block_rows: int, sparse: bool) -> D
         )
 
     facing = F.transform(F.sequence(F.lit(0), F.col("facing") - 1), cell)
+    return _keyed(blocks.withColumn("cells", facing))
+
+
+def _metric_cells(
+    rows: DataFrame, two_sided: bool, block_rows: int, threshold: float, centres: np.ndarray
+) -> DataFrame:
+    size = F.greatest(F.lit(block_rows), F.ceil(F.col("n") / _STRIPES_WANTED))
+    striped, cells = metric_stripes(
+        rows,
+        centres,
+        scope=SCOPE,
+        threshold=threshold,
+        two_sided=two_sided,
+        block_rows=block_rows,
+        stripe_rows=F.least(size, F.lit(block_rows * _MAX_GROWTH)),
+        stripe_values=_STRIPE_VALUES,
+    )
+    blocks = striped.groupBy(*SCOPE, "side", "stripe").agg(
+        F.collect_list(F.struct("name", "payload", *STATS)).alias("items")
+    )
+    # A stripe's cells: as the first of a pair, and as the second of another stripe's.
+    first = F.struct("x", "y", F.lit(0).alias("role"))
+    second = F.struct("x", "y", F.lit(1).alias("role"))
+    one_sided = F.lit(0)
+    as_first = cells.select(*SCOPE, one_sided.alias("side"), F.col("x").alias("stripe"), first.alias("cell"))
+    as_second = cells if two_sided else cells.where("x < y")
+    as_second = as_second.select(
+        *SCOPE,
+        F.lit(1 if two_sided else 0).alias("side"),
+        F.col("y").alias("stripe"),
+        second.alias("cell"),
+    )
+    facing = as_first.union(as_second).groupBy(*SCOPE, "side", "stripe")
+    facing = facing.agg(F.collect_list("cell").alias("cells"))
+    return _keyed(blocks.join(facing, [*SCOPE, "side", "stripe"]))
+
+
+def _keyed(blocks: DataFrame) -> DataFrame:
+    """A row for each cell that a stripe is in, both rows of a cell next to each other."""
     keyed = blocks.select(
         *SCOPE,
-        F.explode(facing).alias("cell"),
+        F.explode("cells").alias("cell"),
         F.transform("items", lambda i: i["name"]).alias("names"),
         F.transform("items", lambda i: F.size(i["payload"])).alias("sizes"),
         F.flatten(F.transform("items", lambda i: i["payload"])).alias("values"),

@@ -12,6 +12,7 @@ from kinsheet.functions.scoring import (
     reaches,
 )
 from kinsheet.operators.grid import BLOCK_ROWS, STATS, score_names
+from kinsheet.operators.metric import sample_centres
 from kinsheet.operators.nearest import best_for_one, best_later
 from kinsheet.operators.objects import extract_objects, group_order, with_norm_name
 from kinsheet.operators.scope import Scope, make_scope, parse_levels, require_groups
@@ -29,6 +30,7 @@ from kinsheet.session import materialize
 GRAMS = "grams"
 NAME_KEY = ["level", "part", "name"]
 RANGE_BITS = 20  # a key with more rows than 2**RANGE_BITS is scanned in ranges that long
+_CENTRES_A_STRIPE = 2  # sampled centres for each stripe that the objects would fill
 _NEVER = -(1 << 62)
 _LATE = 1 << 62
 
@@ -55,7 +57,9 @@ def find_similar(
     ``vectors`` is a table ``(norm_name, vec)``, a provider that makes one from distinct
     names, or ``"grams"`` for character 3-gram counts. Scores are computed once per pair of
     distinct names and expanded to objects with only ``top_k`` matches per object.
-    ``pivots`` > 0 prunes dense scoring exactly at high thresholds.
+    Dense names that fill more than one stripe of ``block_rows`` are dealt by their nearest
+    centre, and stripes too far apart for a positive ``threshold`` never meet; ``pivots`` > 0
+    copies names to pivot cells instead. Both are exact.
     """
     scope = make_scope(mode, anchor_group, target_groups)
     levels = parse_levels(levels)
@@ -221,6 +225,12 @@ def _name_pairs(placed, scope, vectors, threshold, top_k, block_rows, pivots) ->
         keyed, merge = (pivot_rows(rows, threshold, centres), True) if centres else (rows, False)
     else:
         keyed = rows
+    centres = None
+    if not sparse and not merge and prunable:
+        objects = placed.count()
+        # Fewer objects than a stripe holds names: one stripe a scope, nothing to leave out.
+        if objects > block_rows:
+            centres = sample_centres(rows, _CENTRES_A_STRIPE * -(-objects // block_rows))
     if "bucket" not in keyed.columns:
         keyed = keyed.withColumn("bucket", F.lit(0).cast("long"))
     scored = score_names(
@@ -230,6 +240,7 @@ def _name_pairs(placed, scope, vectors, threshold, top_k, block_rows, pivots) ->
         two_sided=scope.directed,
         sparse=sparse,
         block_rows=block_rows,
+        centres=centres,
     )
     if not scope.directed:  # with two sides, equal names already meet as left and right
         scored = scored.unionByName(_self_pairs(rows, self_score, threshold))

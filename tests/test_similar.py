@@ -4,7 +4,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from kinsheet.operators import grid, metric
 from kinsheet.operators import vectors as vector_module
 from kinsheet.operators.objects import with_norm_name
 from kinsheet.operators.vectors import model_vectors
@@ -376,3 +378,53 @@ def test_tied_names_store_few_pairs(spark, monkeypatch, mode, scope, order):
     options = {"mode": mode, "threshold": 0.9, "top_k": 3, **scope}
     find_similar(objects(spark, rows), vectors(spark, table), **options)
     assert 0 < stored[0] <= 3 * 3 * 2000
+
+
+@pytest.mark.parametrize("two_sided", [False, True])
+def test_far_stripes_never_meet(spark, two_sided):
+    """Clustered names: most cells are not made, and no similar pair is lost."""
+    rng = np.random.default_rng(4)
+    axes = rng.normal(size=(12, 24))
+    axes /= np.linalg.norm(axes, axis=1, keepdims=True)
+    data, kept = [], {0: {}, 1: {}}
+    for n in range(480):
+        vec = axes[n % 12] + rng.normal(size=24) * 0.02 if n % 60 else np.zeros(24)
+        side = n // 12 % 2 if two_sided else 0
+        kept[side][f"n{n}"] = vec
+        data.append(("software", "", 0, side, f"n{n}", vec.tolist(), *[0] * len(grid.STATS)))
+    data += [("module", *row[1:]) for row in data[:9]]
+    stats = ", ".join(f"{c} long" for c in grid.STATS)
+    rows = spark.createDataFrame(
+        data, f"level string, part string, bucket long, side int, name string, payload array<double>, {stats}"
+    )
+    centres = metric.sample_centres(rows, 40)
+    striped, cells = metric.metric_stripes(
+        rows,
+        centres,
+        scope=grid.SCOPE,
+        threshold=0.8,
+        two_sided=two_sided,
+        block_rows=10,
+        stripe_rows=F.lit(10),
+        stripe_values=1 << 20,
+    )
+    place = {(r["level"], r["name"]): r["stripe"] for r in striped.collect()}
+    assert len(place) == len(data) == 489
+    made = {(r["level"], r["x"], r["y"]) for r in cells.collect()}
+    assert len(made) == cells.count()
+    stripes = [
+        {place["software", n] for n in side} for side in (kept[0], kept[1 if two_sided else 0])
+    ]
+    possible = len(stripes[0]) * len(stripes[1]) if two_sided else len(stripes[0]) * (len(stripes[0]) + 1) // 2
+    assert sum(level == "software" for level, *_ in made) < possible / 3
+    similar = 0
+    for a, u in kept[0].items():
+        for b, v in kept[1 if two_sided else 0].items():
+            size = np.linalg.norm(u) * np.linalg.norm(v)
+            if a != b and size and u @ v >= 0.8 * size:
+                similar += 1
+                x, y = place["software", a], place["software", b]
+                assert ("software", *((x, y) if two_sided else sorted((x, y)))) in made
+    assert similar > 1000
+    if not two_sided:
+        assert [m for m in made if m[0] == "module"] == [("module", 0, 0)]
