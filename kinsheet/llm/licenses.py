@@ -61,8 +61,14 @@ TEMPLATES = {
 }
 
 NOT_WORD = r"[^a-z0-9.]+"
-#: Sentences and lines are the units that are compared.
+#: Sentences and lines are units that are compared.
 UNIT_END = r"\n+|(?<=[.!?;])[\x20\x09-\x0D]+"
+#: Marks of comment lines, at both ends.
+COMMENT = r"(?m)^[\x20\x09]*(?:#+|//+|/?\*+/?|--+|;+|%+)[\x20\x09]*|[\x20\x09\r]*(?:\*+/)?$"
+#: A copyright line is no part of the sentence after it.
+OWNER_LINE = r"(?im)^[\x20\x09]*((?:copyright|\(c\)|©)[^\n]*)$"
+#: A line that goes on in the next one.
+WRAP = r"(?<!\n)\n(?!\n)"
 
 
 def words_of(text: str) -> list[str]:
@@ -108,6 +114,13 @@ def needed_words(templates: list[tuple[str, dict[str, float]]], least: float) ->
     return sorted(needed)
 
 
+def _unwrapped(text: Column) -> Column:
+    """A text without comment marks, its paragraphs as one line each."""
+    bare = F.regexp_replace(text, COMMENT, "")
+    apart = F.regexp_replace(bare, OWNER_LINE, "\n$1\n")
+    return F.regexp_replace(apart, WRAP, " ")
+
+
 def _document_frequency(texts: DataFrame) -> tuple[dict[str, int], int]:
     """In how many texts each template word occurs, over all of them."""
     vocabulary = sorted({w for ts in TEMPLATES.values() for t in ts for w in words_of(t)})
@@ -120,33 +133,36 @@ def _document_frequency(texts: DataFrame) -> tuple[dict[str, int], int]:
 
 
 def statements(docs: DataFrame, least: float = THRESHOLD) -> DataFrame:
-    """``(doc_id, path, license, cosine)``: the best template of each document that has one.
+    """``(doc_id, path, digest, license, cosine)``: the best template of each text that has one.
 
-    Units are the sentences and lines of whole texts, and the whole text of a licence file.
-    Their vectors have all their words; a word that no template has weighs as one that no
-    document has. Ties go to the first name. A null or empty text has none; the document is
-    known by id and path together.
+    Units are the sentences and lines of whole texts, the sentences of their paragraphs with
+    comment marks and line ends taken out, and the whole text of a licence file. Their vectors
+    have all their words; a word that no template has weighs as one that no document has. Ties
+    go to the first name. A null or empty text has none; a text is known by id, path and the
+    hash of the text, so that rows of one path with different texts stay apart.
     """
     spark = docs.sparkSession
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("path").cast("string").alias("path"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
+    ).withColumn("digest", F.xxhash64("text"))
     frequency, documents = _document_frequency(rows)
     idf = weights(frequency, documents)
     templates = vectors(idf)
     needed = "|".join(re.escape(w) for w in needed_words(templates, least))
     held = F.lower(F.col("text")).rlike(f"(?<![a-z0-9])(?:{needed})(?![a-z0-9])")
     whole = F.when(F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)), F.array("text"))
-    units = F.concat(F.split("text", UNIT_END), F.coalesce(whole, F.array().cast("array<string>")))
+    lines, joined = F.split("text", UNIT_END), F.split(_unwrapped(F.col("text")), UNIT_END)
+    whole = F.coalesce(whole, F.array().cast("array<string>"))
+    units = F.array_distinct(F.concat(lines, joined, whole))
     # Texts, then units, without a needed word cannot reach any template and are left here.
     unit = (
         rows.where(held)
-        .select("doc_id", "path", F.posexplode(units).alias("unit", "text"))
+        .select("doc_id", "path", "digest", F.posexplode(units).alias("unit", "text"))
         .where(held)
     )
-    key = ["doc_id", "path", "unit"]
+    key = ["doc_id", "path", "digest", "unit"]
     word = unit.select(*key, F.explode(_words(F.col("text"))).alias("word"))
     counted = word.groupBy(*key, "word").agg(F.count(F.lit(1)).alias("tf"))
     known = literal_table(
@@ -176,9 +192,9 @@ def statements(docs: DataFrame, least: float = THRESHOLD) -> DataFrame:
     best = F.struct((-F.round("cosine", 9)).alias("far"), "license")
     return (
         scored.where(F.col("cosine") >= least)
-        .groupBy("doc_id", "path")
+        .groupBy("doc_id", "path", "digest")
         .agg(F.min(best).alias("best"))
-        .select("doc_id", "path", "best.license", (-F.col("best.far")).alias("cosine"))
+        .select("doc_id", "path", "digest", "best.license", (-F.col("best.far")).alias("cosine"))
     )
 
 
@@ -196,7 +212,9 @@ def scan(docs: DataFrame, least: float = THRESHOLD) -> DataFrame:
     A null path inherits nothing. Repeated rows are repeated; an empty table gives none.
     """
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path")
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("path").cast("string").alias("path"),
+        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("digest"),
     )
     found = materialize(statements(docs, least))
     own = found.where(F.col("path").rlike(LICENSE_FILE)).groupBy(_directory(F.col("path")).alias("up"))
@@ -222,9 +240,14 @@ def scan(docs: DataFrame, least: float = THRESHOLD) -> DataFrame:
         .select("directory", "near.given", "near.up")
     )
     stated = found.select(
-        F.col("doc_id").alias("_id"), F.col("path").alias("_path"), "license", "cosine"
+        F.col("doc_id").alias("_id"),
+        F.col("path").alias("_path"),
+        F.col("digest").alias("_digest"),
+        "license",
+        "cosine",
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("path").eqNullSafe(F.col("_path"))
+    same = (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    same &= F.col("path").eqNullSafe(F.col("_path"))
     inherits = F.col("license").isNull()
     return (
         rows.join(stated, same, "left")

@@ -1,5 +1,6 @@
 import math
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -8,6 +9,21 @@ from kinsheet.llm import licenses, queries
 FILES = "doc_id long, path string, text string, license string, words string, unit string, up string"
 
 
+def unwrapped(text):
+    """Line by line: comment marks go, lines of a paragraph are joined, owners stand alone."""
+    out, run = [], []
+    for line in text.split("\n"):
+        line = re.sub(r"^[ \t]*(?:#+|//+|/?\*+/?|--+|;+|%+)[ \t]*", "", line)
+        line = re.sub(r"[ \t\r]*(?:\*+/)?$", "", line)
+        owner = re.match(r"(?i)[ \t]*(?:copyright|\(c\)|©)", line)
+        if not line or owner:
+            out += [" ".join(run), line] if owner else [" ".join(run)]
+            run = []
+        else:
+            run.append(line)
+    return "\n".join([*out, " ".join(run)])
+
+
 def brute(rows, least=licenses.THRESHOLD):
     """Cosines of all units to all templates, then the nearest licence file above."""
     vocabulary = {w for ts in licenses.TEMPLATES.values() for t in ts for w in licenses.words_of(t)}
@@ -17,7 +33,7 @@ def brute(rows, least=licenses.THRESHOLD):
     templates = licenses.vectors(idf)
 
     def best(path, text):
-        units = re.split(r"\n+|(?<=[.!?;])[\x20\x09-\x0D]+", text or "")
+        units = re.split(licenses.UNIT_END, text or "") + re.split(licenses.UNIT_END, unwrapped(text or ""))
         if path and re.search(licenses.LICENSE_FILE, path):
             units.append(text or "")
         found = []
@@ -31,15 +47,15 @@ def brute(rows, least=licenses.THRESHOLD):
                     found.append((-round(cosine, 9), name))
         return min(found, default=None)
 
-    own = {(i, p): best(p, t) for i, p, t in rows}
+    own = {(i, p, t): best(p, t) for i, p, t in rows}
     given = {}
-    for (_, path), b in own.items():
+    for (_, path, _), b in own.items():
         if b and path and re.search(licenses.LICENSE_FILE, path):
             up = path[: path.rfind("/") + 1]
             given[up] = min(given.get(up, (b[0], b[1], path)), (b[0], b[1], path))
     out = []
-    for i, path, _ in rows:
-        b = own[i, path]
+    for i, path, text in rows:
+        b = own[i, path, text]
         name, source = (b[1], None) if b else (None, None)
         if not b and path is not None:
             up = path[: path.rfind("/") + 1]
@@ -104,3 +120,25 @@ def test_needed_words_lose_nothing(least):
 def test_plan_is_native(spark, sf_dir):
     plan = queries.op10_licenses(spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.mark.parametrize("mark", ["# ", "// ", " * ", ""])
+def test_wrapped_headers(spark, mark):
+    rows, expected = [], {}
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            for width in (60, 79):
+                lines = [mark + line for line in textwrap.wrap(text, width)]
+                head = [mark + "Copyright (c) 2020 Somebody Else and others"]
+                if mark == " * ":
+                    head, lines = ["/*", *head], [*lines, " */"]
+                expected[len(rows)] = name
+                rows.append((len(rows), f"src/{len(rows)}.c", "\n".join([*head, *lines, "", "int x;"])))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    assert {r["doc_id"]: r["license"] for r in got} == expected
+
+
+def test_rows_of_one_path_stay_apart(spark):
+    rows = [(1, "a/x.py", "Released under the MIT License."), (1, "a/x.py", "nothing"), (1, "a/x.py", None)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    assert sorted(r["license"] or "" for r in got) == ["", "", "MIT"]
