@@ -18,10 +18,13 @@ from kinsheet.functions.scoring import NORM_FLOOR, THRESHOLD_TOLERANCE
 from kinsheet.operators.metric import metric_stripes
 
 BLOCK_ROWS = 2048
-_STRIPES_WANTED = 128  # large scopes grow their stripes up to _MAX_GROWTH before adding more
-_MAX_GROWTH = 16
+# A dense name is copied to a cell for each stripe that faces its own: stripes of a scope grow with it
+# to keep their number, until they have _MOST_ROWS or _STRIPE_VALUES.
+_STRIPES_WANTED = 16
+_MOST_ROWS = 1 << 16
 _STRIPE_VALUES = 1 << 23  # vector entries per stripe, whatever its row count
 _PRODUCT_CELLS = 1 << 22  # scores held at a time, 32 MB of doubles
+_PENDING_PAIRS = 1 << 21  # pairs a task gathers before it cuts them
 _GRAM_COLUMNS = 1024
 _SCORE_DIGITS = 12
 
@@ -54,19 +57,23 @@ def score_names(
     ``two_sided`` pairs side 0 with side 1; otherwise side 0 is paired with itself.
     With ``centres`` only cells of stripes that are near enough for the threshold are made.
     """
-    task = _cell_task(threshold, top_k, two_sided, sparse, block_rows)
+    task = _cell_task(threshold, top_k, two_sided, sparse)
     if centres is not None and len(centres):
         keyed = _metric_cells(rows, two_sided, block_rows, threshold, centres)
         return keyed.mapInArrow(task, PAIR_SCHEMA)
     return _cells(rows, two_sided, block_rows, sparse).mapInArrow(task, PAIR_SCHEMA)
 
 
-def _cells(rows: DataFrame, two_sided: bool, block_rows: int, sparse: bool) -> DataFrame:
-    growth = 1 if sparse else _MAX_GROWTH
+def _stripe_rows(count: str, block_rows: int) -> Column:
+    """Rows of a dense stripe in a scope of ``count`` names."""
+    grown = F.least(F.ceil(F.col(count) / _STRIPES_WANTED), F.lit(_MOST_ROWS))
+    return F.greatest(F.lit(block_rows), grown)
+
 
+def _cells(rows: DataFrame, two_sided: bool, block_rows: int, sparse: bool) -> DataFrame:
     def stripes(count: str, values: str) -> Column:
-        size = F.greatest(F.lit(block_rows), F.ceil(F.col(count) / _STRIPES_WANTED))
-        by_rows = F.ceil(F.col(count) / F.least(size, F.lit(block_rows * growth)))
+        size = F.lit(block_rows) if sparse else _stripe_rows(count, block_rows)
+        by_rows = F.ceil(F.col(count) / size)
         by_values = F.ceil(F.col(values) / _STRIPE_VALUES)
         return F.greatest(by_rows, by_values).cast("int")
 
@@ -113,7 +120,6 @@ def _cells(rows: DataFrame, two_sided: bool, block_rows: int, sparse: bool) -> D
 def _metric_cells(
     rows: DataFrame, two_sided: bool, block_rows: int, threshold: float, centres: np.ndarray
 ) -> DataFrame:
-    size = F.greatest(F.lit(block_rows), F.ceil(F.col("n") / _STRIPES_WANTED))
     striped, cells = metric_stripes(
         rows,
         centres,
@@ -121,7 +127,7 @@ def _metric_cells(
         threshold=threshold,
         two_sided=two_sided,
         block_rows=block_rows,
-        stripe_rows=F.least(size, F.lit(block_rows * _MAX_GROWTH)),
+        stripe_rows=_stripe_rows("n", block_rows),
         stripe_values=_STRIPE_VALUES,
     )
     blocks = striped.groupBy(*SCOPE, "side", "stripe").agg(
@@ -255,47 +261,77 @@ def _cut(left, score, alive, first, last, top_k: int) -> np.ndarray:
     return order[(ahead < top_k) & (is_alive[order] == 0)]
 
 
-def _directed_pairs(a, b, ia, ib, score, top_k) -> pa.Table | None:
+def _useful_pairs(a, b, ia, ib, score, top_k) -> tuple[np.ndarray, ...]:
+    """The pairs that may go from ``a`` to ``b``, cut to those that can matter, and whether alive."""
     q, c = a.stats, b.stats
     possible = _before(q["q_lo1"][ia], q["q_lo2"][ia], c["c_hi1"][ib], c["c_hi2"][ib])
     ia, ib, score = ia[possible], ib[possible], score[possible]
-    if not len(ia):
-        return None
     alive = _before(q["q_hi1"][ia], q["q_hi2"][ia], c["c_hi1"][ib], c["c_hi2"][ib])
     keep = _cut(ia, score, alive, c["c_first"][ib], c["c_last"][ib], top_k)
-    ia, ib = ia[keep], ib[keep]
-    return pa.table(
-        {
-            "a_name": a.names.take(pa.array(ia)),
-            "b_name": b.names.take(pa.array(ib)),
-            "score": score[keep],
-            "n_q": q["n_q"][ia],
-            "n_c": c["n_c"][ib],
-            "c_first": c["c_first"][ib],
-            "c_last": c["c_last"][ib],
-            "alive": alive[keep],
-        }
-    )
+    return ia[keep], ib[keep], score[keep], alive[keep]
+
+
+class _Gathered:
+    """Pairs from ``a`` to ``b`` that come in pieces: cut together, however many pieces there are."""
+
+    def __init__(self, a: _Block, b: _Block, top_k: int) -> None:
+        self.a, self.b, self.top_k = a, b, top_k
+        self.pieces, self.held, self.limit = [], 0, _PENDING_PAIRS
+
+    def add(self, ia: np.ndarray, ib: np.ndarray, score: np.ndarray) -> None:
+        self.pieces.append((ia, ib, score))
+        self.held += len(ia)
+        if self.held > self.limit:
+            self.pieces = [self.cut()[:3]]
+            self.held = len(self.pieces[0][0])
+            self.limit = max(_PENDING_PAIRS, 2 * self.held)
+
+    def cut(self) -> tuple[np.ndarray, ...]:
+        ia, ib, score = (np.concatenate(column) for column in zip(*self.pieces))
+        return _useful_pairs(self.a, self.b, ia, ib, score, self.top_k)
+
+    def table(self) -> pa.Table | None:
+        ia, ib, score, alive = self.cut()
+        if not len(ia):
+            return None
+        q, c = self.a.stats, self.b.stats
+        return pa.table(
+            {
+                "a_name": self.a.names.take(pa.array(ia)),
+                "b_name": self.b.names.take(pa.array(ib)),
+                "score": score,
+                "n_q": q["n_q"][ia],
+                "n_c": c["n_c"][ib],
+                "c_first": c["c_first"][ib],
+                "c_last": c["c_last"][ib],
+                "alive": alive,
+            }
+        )
 
 
 def _cell_task(
-    threshold: float, top_k: int, two_sided: bool, sparse: bool, block_rows: int
+    threshold: float, top_k: int, two_sided: bool, sparse: bool
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def score_cell(a: _Block, b: _Block) -> Iterator[pa.Table]:
         whole = _gram_scores(a, b) if sparse else None
-        step = max(1, min(block_rows, _PRODUCT_CELLS // max(len(b), 1)))
+        step = max(1, _PRODUCT_CELLS // max(len(b), 1))
+        forth, back = _Gathered(a, b, top_k), _Gathered(b, a, top_k)
         for start in range(0, len(a), step):
             stop = min(start + step, len(a))
-            scores = whole[start:stop] if sparse else a.matrix[start:stop] @ b.matrix.T
-            scores = np.round(np.clip(scores, -1.0, 1.0), _SCORE_DIGITS)
-            hit = scores + THRESHOLD_TOLERANCE >= threshold
+            low = start if a is b else 0  # of a stripe with itself, only the later names
+            scores = whole[start:stop, low:] if sparse else a.matrix[start:stop] @ b.matrix[low:].T
+            # Rounding moves a score by far less than the tolerance: few scores are rounded.
+            ia, ib = np.nonzero(scores >= threshold - 2 * THRESHOLD_TOLERANCE)
+            score = np.round(np.clip(scores[ia, ib], -1.0, 1.0), _SCORE_DIGITS)
+            ia, ib = ia + start, ib + low
+            hit = score + THRESHOLD_TOLERANCE >= threshold
             if a is b:
-                hit &= np.arange(start, stop)[:, None] < np.arange(len(b))[None, :]
-            ia, ib = np.nonzero(hit)
-            score = scores[ia, ib]
-            ia = ia + start
-            yield _directed_pairs(a, b, ia, ib, score, top_k)
-            yield _directed_pairs(b, a, ib, ia, score, top_k)
+                hit &= ia < ib
+            ia, ib, score = ia[hit], ib[hit], score[hit]
+            forth.add(ia, ib, score)
+            back.add(ib, ia, score)
+        yield forth.table()
+        yield back.table()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held = None, None

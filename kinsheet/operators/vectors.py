@@ -168,7 +168,9 @@ def pivot_rows(rows: DataFrame, threshold: float, pivots: Sequence[Sequence[floa
 
     A vector's home is its nearest pivot. A similar vector can only live across the
     plane between two pivots if that plane is within the threshold's angle, which is
-    read off the two dot products. Exact for unit vectors and a positive threshold.
+    read off the two dot products. Of two homes the pair meets in the first one, so a
+    vector visits only cells ahead of its home. Exact for unit vectors and a positive
+    threshold.
     """
     centres = np.asarray(pivots, dtype=np.float64)
     centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
@@ -185,6 +187,7 @@ def pivot_rows(rows: DataFrame, threshold: float, pivots: Sequence[Sequence[floa
         dots = matrix @ centres.T
         home = dots.argmax(axis=1)
         near = dots.max(axis=1, keepdims=True) - dots <= reach * gaps[home]
+        near &= np.arange(len(centres)) < home[:, None]
         near[np.arange(len(home)), home] = True
         rows_of, cell_of = np.nonzero(near)
         offsets = np.searchsorted(rows_of, np.arange(len(column) + 1)).astype(np.int32)

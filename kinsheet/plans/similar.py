@@ -31,6 +31,7 @@ GRAMS = "grams"
 NAME_KEY = ["level", "part", "name"]
 RANGE_BITS = 20  # a key with more rows than 2**RANGE_BITS is scanned in ranges that long
 _CENTRES_A_STRIPE = 2  # sampled centres for each stripe that the objects would fill
+_MOST_CENTRES = 32  # a name is copied to a cell for each centre: a number that must not follow the names
 _NEVER = -(1 << 62)
 _LATE = 1 << 62
 
@@ -230,7 +231,8 @@ def _name_pairs(placed, scope, vectors, threshold, top_k, block_rows, pivots) ->
         objects = placed.count()
         # Fewer objects than a stripe holds names: one stripe a scope, nothing to leave out.
         if objects > block_rows:
-            centres = sample_centres(rows, _CENTRES_A_STRIPE * -(-objects // block_rows))
+            wanted = _CENTRES_A_STRIPE * -(-objects // block_rows)
+            centres = sample_centres(rows, min(wanted, _MOST_CENTRES))
     if "bucket" not in keyed.columns:
         keyed = keyed.withColumn("bucket", F.lit(0).cast("long"))
     scored = score_names(
