@@ -219,3 +219,15 @@ def test_empty_table_and_sheets_of_one_group_are_refused(spark):
     with pytest.raises(HierarchyError, match="duplicate ids"):
         flatten_hierarchy(both)
     assert len(records(flatten_hierarchy(both, F.col("source_id")))) == 8
+
+
+def test_state_is_computed_once_for_all_uses(spark):
+    """Rows are classified and carried once, not again for each output and for the summaries."""
+    rows = SAMPLE + [("x-1", "未知"), ("㈡", "系统二"), *[(str(i), f"s{i}") for i in range(3, 1003)]]
+    result = flatten_hierarchy(sheet(spark, rows), check=False, chunk_bits=6)
+    for table in (result.records, result.excluded, result.counts):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "EvalPython" not in plan and "Window" not in plan
+    last = records(result)[-1]
+    assert last[RECORD_COLUMNS.index("software_id")] == "SW1002"
+    assert last[RECORD_COLUMNS.index("system_id")] == "S002"

@@ -95,3 +95,27 @@ def test_cjk_spaces_can_stay(spark):
 def test_case_folding_is_pythons(spark, name):
     expected = unicodedata.normalize("NFKC", name).casefold()
     assert column(spark, [name], comparable()) == [expected]
+
+
+def test_common_widths_are_normalised_without_python(spark, monkeypatch):
+    """Ideographs and full-width forms go through a built-in, all else through Python."""
+    stable = [chr(c) for c in range(0x4E00, 0xA000)]
+    assert all(unicodedata.normalize("NFKC", c) == c for c in stable)
+    assert unicodedata.normalize("NFKC", text.WIDE) == text.NARROW
+    values = ["（１２）", "ＡＢ　c～", "软件（一）", "plain", "", None, "㈠", "é", "ｶﾞ", "（①）", "１́"]
+    expected = [v and unicodedata.normalize("NFKC", v) for v in values]
+    assert column(spark, values, lambda df: text.nfkc(F.col("v"))) == expected
+
+    def no_python(col):
+        return F.when(col.isNotNull(), F.raise_error(F.lit("a text for Python")).cast("string"))
+
+    monkeypatch.setattr(text, "_nfkc_udf", no_python)
+    assert column(spark, values[:6], lambda df: text.nfkc(F.col("v"))) == expected[:6]
+
+
+def test_even_spaces_stay_and_all_others_collapse(spark):
+    values = ["a b", "a  b", " a", "a ", "a\tb", "a　 b", "\u0085a", "", " ", "　", None, "名 称"]
+    expected = [v if v is None else " ".join(v.split()) for v in values]
+    assert column(spark, values, lambda df: text.collapse_spaces(F.col("v"))) == expected
+    stripped = [v if v is None else v.strip() for v in values]
+    assert column(spark, values, lambda df: text.strip_spaces(F.col("v"))) == stripped
