@@ -15,10 +15,10 @@ A file is a Parquet table with one row a shard. A shard holds whole documents:
 
 from __future__ import annotations
 
+import codecs
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +39,10 @@ ROUND_SHARE = 1 / 64
 LEAST_PAIRS = 4
 #: Ids up to which a rule's expansion is written out for decoding.
 SHORT_RULE = 64
-#: Words, and as many pieces of words, whose ids a worker remembers.
-WORDS_KEPT = 1 << 19
+#: Pieces of words, and as many words that are encoded whole, whose ids a worker remembers.
+WORDS_KEPT = 1 << 20
+#: Pieces that are given to the tokenizer's model at once.
+LEARNT_PIECES = 1 << 14
 #: Words whose ids are put in place at once.
 PLACED_WORDS = 1 << 17
 
@@ -52,26 +54,105 @@ SCHEMA = (
 
 # Word pieces ---------------------------------------------------------------------------------
 
-#: The tokenizer's own rule for pieces, for texts of the first 256 code points. Fixed value.
-LATIN_PIECES = re.compile(
-    "'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\t-\r \x85\xa0a-z0-9ªµºß-öø-ÿ²³¹¼-¾]+"
-)
+#: The tokenizer's own rule for pieces, for texts of the first 256 code points: runs of letters,
+#: single digits and runs of other signs; white space falls out. Fixed values.
+SPACE, LETTER, DIGIT, OTHER = range(4)
+KINDS = ((SPACE, "[\t-\r \x85\xa0]"), (LETTER, "[a-zªµºß-öø-ÿ]"), (DIGIT, "[0-9²³¹¼-¾]"), (OTHER, "."))
+#: An apostrophe that begins a run takes these letters with it.
+ONE_LETTER, TWO_LETTERS = b"stmd", (b"re", b"ve", b"ll")
 
 
-def _byte_letters() -> dict[int, str]:
-    """How byte-level vocabularies write the UTF-8 bytes of the first 256 code points."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = iter(range(256, 512))
-    letter = {b: chr(b if b in plain else next(others)) for b in range(256)}
-    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
+def _lower_and_kind() -> tuple[np.ndarray, np.ndarray]:
+    """Small letter and kind of each of the first 256 code points."""
+    low = [chr(c).lower() for c in range(256)]
+    kind = [next(k for k, rule in KINDS if re.match(rule, x, re.S)) for x in low]
+    return np.array(list(map(ord, low)), dtype=np.uint8), np.array(kind, dtype=np.uint8)
 
 
-def _strings(words: pa.Array) -> list[str]:
-    return words.to_numpy(zero_copy_only=False).tolist()
+LOWER, KIND = _lower_and_kind()
+
+
+def _byte_letters() -> str:
+    """How byte-level vocabularies write each byte; the space stays, it parts pieces."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    letters = [chr(b if b in plain else next(others)) for b in range(256)]
+    letters[ord(" ")] = " "
+    return "".join(letters)
+
+
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of words end to end, and the place of each word's first byte and of the end."""
+    _, edges, data = words.cast(pa.string()).buffers()
+    edges = np.frombuffer(edges, dtype=np.int32)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(data, dtype=np.uint8)[edges[0] : edges[-1]], edges - edges[0]
+
+
+def cut_pieces(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Pieces, in small letters, of words of the first 256 code points; number of each word's."""
+    data, edges = _bytes_of(words)
+    size = len(data)
+    text = np.zeros(size + 2, dtype=np.uint8)
+    text[:size] = data
+    wide = np.flatnonzero(text >= 0xC2)
+    code = ((text[wide] & 3) << 6) | (text[wide + 1] & 0x3F)
+    text, kind = LOWER[text], KIND[text]
+    text[wide], text[wide + 1] = 0xC0 | (LOWER[code] >> 6), 0x80 | (LOWER[code] & 0x3F)
+    kind[wide] = kind[wide + 1] = KIND[code]
+    word = np.ones(size + 3, dtype=bool)
+    word[:size] = False
+    word[edges] = True
+    begins = word.copy()
+    begins[1:size] |= kind[1:size] != kind[: size - 1]
+    begins[:size] |= (kind[:size] == DIGIT) & (text[:size] & 0xC0 != 0x80)
+    at = np.flatnonzero((text[:size] == ord("'")) & begins[:size])
+    at = at[~word[at + 1]]
+    one = np.isin(text[at + 1], np.frombuffer(ONE_LETTER, dtype=np.uint8))
+    two = np.zeros(len(at), dtype=bool)
+    for a, b in TWO_LETTERS:
+        two |= (text[at + 1] == a) & (text[at + 2] == b) & ~word[at + 2]
+    begins[at[one | two] + 1] = False
+    begins[at[one] + 2] = begins[at[two] + 3] = True
+    stays = kind[:size] != SPACE
+    begins = begins[:size] & stays
+    count = np.concatenate([[0], np.cumsum(begins)])[edges]
+    if not stays.all():
+        begins, text = begins[stays], text[:size][stays]
+        size = len(begins)
+    starts = np.append(np.flatnonzero(begins), size).astype(np.int32)
+    buffers = [None, pa.py_buffer(starts), pa.py_buffer(text)]
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, buffers), np.diff(count)
+
+
+class Remembered:
+    """Ids of strings: what was asked for lately stays, in two generations."""
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def find(self, names: list, most: int, learn) -> list[bytes]:
+        """Ids of distinct ``names``; ``learn`` makes those of the names not remembered."""
+        if len(self.young) > most // 2:
+            self.young, self.old = {}, self.young
+        found = list(map(self.young.get, names))
+        lost = [i for i, ids in enumerate(found) if ids is None]
+        if lost:
+            older = list(map(self.old.get, map(names.__getitem__, lost)))
+            new = iter(learn([names[i] for i, ids in zip(lost, older) if ids is None]))
+            for i, ids in zip(lost, older):
+                found[i] = self.young[names[i]] = next(new) if ids is None else ids
+        return found
+
+
+def _pool(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids end to end, and the number of each part's."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    return np.frombuffer(b"".join(parts), dtype="<u4"), sizes
 
 
 class WordEncoder:
-    """Ids of white-space separated words, remembered between batches.
+    """Ids of white-space separated words; those of their pieces are remembered between batches.
 
     The tokenizer splits at white space and handles each part by itself, so the ids of a text
     are those of its words. Words of Latin letters are cut into pieces here and go straight to
@@ -80,64 +161,84 @@ class WordEncoder:
 
     def __init__(self, tokenizer_file: str, words_kept: int = WORDS_KEPT):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.whole = Tokenizer.from_file(tokenizer_file)
         self.model = Tokenizer(self.whole.model)
+        self.model.pre_tokenizer = WhitespaceSplit()
         self.vocabulary = self.whole.get_vocab_size()
         self.letters = _byte_letters()
         self.markers = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.words_kept = words_kept
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _plain(self, words: pa.Array) -> np.ndarray:
-        """Words of the first 256 code points without a marker string."""
-        plain = pc.match_substring_regex(words, r"^[\x00-\x{FF}]*$")
-        for marker in self.markers:
-            plain = pc.and_not(plain, pc.match_substring(words, marker))
-        return np.asarray(plain)
-
-    def _learn(self, words: pa.Array) -> None:
-        plain = self._plain(words)
-        known = self.pieces
-        latin = _strings(words.filter(pa.array(plain)))
-        cut = list(map(LATIN_PIECES.findall, map(str.lower, latin)))
-        new = list(set(chain.from_iterable(cut)).difference(known))
-        if new:
-            written = [p if p.isascii() and p.isprintable() else p.translate(self.letters) for p in new]
-            coded = self.model.encode(written, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(coded.ids, dtype="<u4").tobytes()
-            owner = np.array(coded.word_ids, dtype=np.int64)
-            ends = (4 * np.cumsum(np.bincount(owner, minlength=len(new)))).tolist()
-            known.update(zip(new, map(ids.__getitem__, map(slice, [0, *ends], ends))))
-        find = known.__getitem__
-        ids = (find(ps[0]) if len(ps) == 1 else b"".join(map(find, ps)) for ps in cut)
-        self.words.update(zip(latin, ids))
-        rest = _strings(words.filter(pa.array(~plain)))
-        for w, coded in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
-            self.words[w] = np.array(coded.ids, dtype="<u4").tobytes()
+        self.words, self.pieces = Remembered(), Remembered()
+        suffix = getattr(self.whole.model, "end_of_word_suffix", None)
+        self.ends_piece = np.zeros(self.vocabulary, dtype=bool)
+        if suffix:
+            self.ends_piece[[i for t, i in self.model.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def _learn_pieces(self, pieces: list[bytes]) -> Iterator[bytes]:
+        """Ids of pieces by the tokenizer's model, which reads them as one text with spaces."""
+        for start in range(0, len(pieces), LEARNT_PIECES):
+            some = pieces[start : start + LEARNT_PIECES]
+            text = codecs.charmap_decode(b" ".join(some), "strict", self.letters)[0]
+            ids = self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            ids = np.array(ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends_piece[ids]) + 1
+            if len(ends) != len(some):  # a model that does not mark the end of a piece
+                owner = self.model.encode(text, add_special_tokens=False).word_ids
+                ends = np.cumsum(np.bincount(np.array(owner, dtype=np.int64), minlength=len(some)))
+            data, ends = ids.tobytes(), (4 * ends).tolist()
+            yield from map(data.__getitem__, map(slice, [0, *ends], ends))
+
+    def _learn_words(self, words: list[str]) -> Iterator[bytes]:
+        for coded in self.whole.encode_batch_fast(words, add_special_tokens=False):
+            yield np.array(coded.ids, dtype="<u4").tobytes()
+
+    def _latin(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        pieces, count = cut_pieces(words)
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids, sizes = _pool(self.pieces.find(distinct, self.words_kept, self._learn_pieces))
+        index = coded.indices.to_numpy()
+        each = sizes[index]
+        before = np.concatenate([[0], np.cumsum(each)])
+        ends = np.cumsum(count)
+        return ids[common.ranges(common.starts_of(sizes)[index], each)], before[ends] - before[ends - count]
+
+    def _ids(self, words: pa.Array, marked: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(pool, first, size)``: ids of distinct words, and where in them each word's are."""
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        data, edges = _bytes_of(words)
+        plain = np.maximum.reduceat(data, edges[:-1]) < 0xC4
+        if marked:
+            for marker in self.markers:
+                plain &= ~np.asarray(pc.match_substring(words, marker))
+        first, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        pools = []
+        if plain.any():
+            ids, size[plain] = self._latin(words.filter(pa.array(plain)))
+            pools.append(ids)
+        first[plain] = common.starts_of(size[plain])
+        if not plain.all():
+            rest = words.filter(pa.array(~plain)).to_numpy(zero_copy_only=False).tolist()
+            ids, size[~plain] = _pool(self.words.find(rest, self.words_kept, self._learn_words))
+            first[~plain] = common.starts_of(size[~plain]) + sum(map(len, pools))
+            pools.append(ids)
+        return np.concatenate(pools), first, size
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids of each text."""
         # Case folding makes fewer distinct words. It could make a marker string of another one.
-        marked = [pc.any(pc.match_substring(texts, m, ignore_case=True)).as_py() for m in self.markers]
-        flat, counts = common.split_words(texts if any(marked) else pc.ascii_lower(texts))
+        marked = any(
+            pc.any(pc.match_substring(texts, m, ignore_case=True)).as_py() for m in self.markers
+        )
+        flat, counts = common.split_words(texts if marked else pc.ascii_lower(texts))
         coded = flat.dictionary_encode()
-        for held in (self.pieces, self.words):
-            if len(held) > self.words_kept:
-                held.clear()
-        distinct = _strings(coded.dictionary)
-        parts = list(map(self.words.get, distinct))
-        missing = [i for i, part in enumerate(parts) if part is None]
-        if missing:
-            self._learn(coded.dictionary.take(pa.array(missing)))
-            for i in missing:
-                parts[i] = self.words[distinct[i]]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        pool = np.frombuffer(b"".join(parts), dtype="<u4")
-        del parts, distinct, flat
+        pool, first, sizes = self._ids(coded.dictionary, marked)
+        del flat
         index = coded.indices.to_numpy()
-        first, each = common.starts_of(sizes), sizes[index].astype(np.int32)
+        each = sizes[index].astype(np.int32)
         before = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
         ids = np.empty(int(before[-1]), dtype=np.uint32)
         for start in range(0, len(index), PLACED_WORDS):
@@ -163,14 +264,10 @@ def encoder(tokenizer_file: str, words_kept: int = WORDS_KEPT) -> WordEncoder:
 
 
 def _overlapping(key: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Every second place in a run of one symbol: the places of one pair never overlap."""
-    second = np.zeros(len(key), dtype=bool)
-    same = np.flatnonzero((key >> np.uint64(32)) == (key & np.uint64(0xFFFFFFFF)))
-    if len(same):
-        first = np.flatnonzero((np.diff(at[same], prepend=-2) > 1) | (np.diff(key[same], prepend=~key[:1]) != 0))
-        nth = np.arange(len(same)) - np.repeat(first, np.diff(np.append(first, len(same))))
-        second[same[nth % 2 == 1]] = True
-    return second
+    """Every second place of a run of one symbol, of the places ``at`` of pairs of equal ones."""
+    first = np.flatnonzero((np.diff(at, prepend=-2) > 1) | (np.diff(key, prepend=~key[:1]) != 0))
+    nth = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    return nth % 2 == 1
 
 
 def _without_overlap(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -201,19 +298,27 @@ def best_pairs(
     wait for the next round, as do pairs whose overlaps with better ones leave too few places.
     """
     where = np.flatnonzero(open_)
-    key = (seq[where].astype(np.uint64) << np.uint64(32)) | seq[where + 1]
+    symbols = np.empty((len(where), 2), dtype="<u4")
+    symbols[:, 1], symbols[:, 0] = seq[where], seq[1:][where]
+    key = symbols.view("<u8").ravel()
     bits = max(12, min(18, len(where).bit_length()))
     shift = np.uint64(64 - bits)
     hashed = key * np.uint64(0x9E3779B97F4A7C15)
     slot = (hashed >> shift).view(np.int64)
-    second = _overlapping(key, where)
-    bound = np.bincount(slot[~second] if second.any() else slot, minlength=1 << bits)
-    often = bound[slot] >= LEAST_PAIRS
+    # The places of one pair never overlap.
+    same = np.flatnonzero(symbols[:, 0] == symbols[:, 1])
+    second = same[_overlapping(key[same], where[same])] if len(same) else same
+    bound = np.bincount(slot, minlength=1 << bits)
+    bound -= np.bincount(slot[second], minlength=1 << bits) if len(second) else 0
+    often = (bound >= LEAST_PAIRS)[slot]
     rare = where[~often]
-    live = np.flatnonzero(often & ~second)
-    held = np.sort(hashed[live])
-    edge = np.flatnonzero(np.diff(held, prepend=~held[:1]) != 0)
-    count = np.diff(np.append(edge, len(held)))
+    often[second] = False
+    live = np.flatnonzero(often)
+    hashed = hashed[live]
+    held = np.sort(hashed)
+    edge = np.flatnonzero(held[1:] != held[:-1]) + 1
+    edge = np.concatenate([[0], edge, [len(held)]]) if len(held) else edge
+    count = np.diff(edge)
     top = int(count.max(initial=0))
     if top < LEAST_PAIRS:
         return key[:0], where[:0], where[:0], rare
@@ -224,7 +329,7 @@ def best_pairs(
     rank_of[(pair >> shift).view(np.int64)[::-1]] = np.arange(len(pair))[::-1]
     rank = rank_of[slot[live]]
     found = np.flatnonzero(rank >= 0)
-    found = found[pair[rank[found]] == hashed[live[found]]]
+    found = found[pair[rank[found]] == hashed[found]]
     spot, rank = live[found], rank[found]
     taken = _without_overlap(where[spot], rank)
     taken &= (np.bincount(rank[taken], minlength=len(pair)) >= LEAST_PAIRS)[rank]
@@ -246,6 +351,7 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int) -> tuple:
     """
     seq, open_ = ids.astype(np.uint32), ~last
     open_[-1:] = False
+    ends = np.flatnonzero(last)
     made: list[np.ndarray] = []
     rounds: list[int] = []
     length = np.ones(base, dtype=np.uint32)
@@ -261,16 +367,16 @@ def compress(ids: np.ndarray, last: np.ndarray, base: int) -> tuple:
         open_[rare] = False
         stays = np.ones(len(seq), dtype=bool)
         stays[at + 1] = False
-        last = last.copy()
-        last[at] = last[at + 1]
+        seq, open_ = seq[stays], open_[stays]
+        ends -= np.searchsorted(at, ends)
         # Both pairs of a new symbol are new, and so may be frequent.
-        fresh = np.zeros(len(seq), dtype=bool)
-        fresh[at] = True
-        seq, last, open_, fresh = seq[stays], last[stays], open_[stays], fresh[stays]
-        open_ |= fresh
-        open_[:-1] |= fresh[1:]
-        open_ &= ~last
+        at = at - np.arange(len(at))
+        open_[at] = True
+        open_[at[at > 0] - 1] = True
+        open_[ends] = False
         open_[-1:] = False
+    last = np.zeros(len(seq), dtype=bool)
+    last[ends] = True
     rules = np.concatenate(made) if made else np.zeros((0, 2), np.uint32)
     return seq, last, rules, length[base:], rounds
 

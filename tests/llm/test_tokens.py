@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -62,6 +63,62 @@ def test_words_are_those_of_the_tokenizer(tokenizer):
         assert ids.tolist() == sum(whole, []) and counts.tolist() == [len(w) for w in whole]
 
 
+class Watched:
+    """A tokenizer that notes the pieces it is asked for."""
+
+    def __init__(self, inner):
+        self.inner, self.asked = inner, []
+
+    def __getattr__(self, name):
+        def call(texts, **options):
+            for text in texts:
+                self.asked += text.split()
+            return getattr(self.inner, name)(texts, **options)
+
+        return call
+
+
+def test_words_that_come_again_stay_when_many_others_pass(tokenizer):
+    rng = random.Random(8)
+    often = ["house", "straße", "don't", "x9y"]
+    coder = tokens.WordEncoder(queries.tokenizer_file(), words_kept=100)
+    coder.model = Watched(coder.model)
+    for _ in range(40):
+        texts = [" ".join([*often, *("".join(rng.choices("abcdé", k=9)) for _ in range(30))])]
+        ids, _ = coder.encode(pa.array(texts))
+        assert ids.tolist() == tokenizer.encode(texts[0], add_special_tokens=False).ids
+    assert len(coder.model.asked) > 1000
+    assert coder.model.asked.count("house") == 1
+    for held in (coder.pieces.young, coder.pieces.old):
+        assert len(held) <= 100 // 2 + 40
+
+
+def test_a_model_that_does_not_mark_ends(tokenizer):
+    text = "The house's 42 doors, açaí -- don't''re x\u00a0y " * 3
+    coder = tokens.WordEncoder(queries.tokenizer_file())
+    coder.ends_piece[:] = False
+    ids, counts = coder.encode(pa.array([text, None, text]))
+    expected_ids = tokenizer.encode(text, add_special_tokens=False).ids
+    assert ids.tolist() == 2 * expected_ids
+    assert counts.tolist() == [len(expected_ids), 0, len(expected_ids)]
+
+
+def test_pieces_follow_the_rule():
+    letters, digits = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+    rule = re.compile(
+        f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\t-\r \x85\xa0{letters}{digits}]+"
+    )
+    rng = random.Random(4)
+    latin = [chr(c) for c in range(256) if c not in (32, *range(9, 14))]
+    some = "'''stmdrevlLx9²é-\xa0"
+    words = ["".join(rng.choices(some + rng.choice(latin), k=rng.randint(1, 9))) for _ in range(4000)]
+    words += ["".join(rng.choices(latin, k=rng.randint(1, 12))) for _ in range(4000)] + ["\xa0", "'", "'r", "l"]
+    pieces, counts = tokens.cut_pieces(pa.array(["cut off", *words])[1:])
+    found = [p.decode() for p in pieces.to_pylist()]
+    assert found == [p for w in words for p in rule.findall(w.lower())]
+    assert counts.tolist() == [len(rule.findall(w.lower())) for w in words]
+
+
 @pytest.mark.parametrize("kind", ["random", "runs", "empty", "one", "phrases"])
 def test_grammar_round_trip(kind):
     rng = np.random.default_rng(5)
