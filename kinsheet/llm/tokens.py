@@ -32,7 +32,7 @@ from kinsheet.llm import common
 #: Ids after which a shard is closed; a longer document is a shard of its own.
 SHARD_TOKENS = 1 << 18
 #: Text bytes encoded at once: the more, the fewer words are looked up again.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 9 << 20
 #: A round replaces the pairs at least this share as frequent as its most frequent one.
 ROUND_SHARE = 1 / 64
 #: A rule is two symbols and a length, an occurrence saves one symbol: the fourth one pays.
@@ -138,10 +138,13 @@ class Remembered:
         found = list(map(self.young.get, names))
         lost = [i for i, ids in enumerate(found) if ids is None]
         if lost:
-            older = list(map(self.old.get, map(names.__getitem__, lost)))
-            new = iter(learn([names[i] for i, ids in zip(lost, older) if ids is None]))
-            for i, ids in zip(lost, older):
-                found[i] = self.young[names[i]] = next(new) if ids is None else ids
+            asked = [names[i] for i in lost]
+            older = list(map(self.old.get, asked))
+            new = iter(learn([name for name, ids in zip(asked, older) if ids is None]))
+            parts = [next(new) if ids is None else ids for ids in older]
+            self.young.update(zip(asked, parts))
+            for i, ids in zip(lost, parts):
+                found[i] = ids
         return found
 
 
