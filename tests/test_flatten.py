@@ -3,7 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from kinsheet import session
+from kinsheet.operators import sequence
 from kinsheet.operators.outline import header_rows
+from kinsheet.plans import flatten
 from kinsheet.plans.flatten import HierarchyError, flatten_hierarchy, standard_records
 from kinsheet.schemas import RECORD_COLUMNS, SHEET_SCHEMA
 
@@ -231,3 +234,31 @@ def test_state_is_computed_once_for_all_uses(spark):
     last = records(result)[-1]
     assert last[RECORD_COLUMNS.index("software_id")] == "SW1002"
     assert last[RECORD_COLUMNS.index("system_id")] == "S002"
+
+
+@pytest.mark.parametrize("check", [True, False])
+def test_records_are_numbered_without_a_sort(spark, monkeypatch, check):
+    """Only the offsets of sheets are stored for the numbers, not the records of the sheets."""
+    rng = random.Random(8)
+    serial = {"P": "一", "S": "（二）", "W": "3", "M": "（4）", "?": "x", "-": None}
+    table = None
+    for name in ("c", "a", "e", "b"):
+        # The first rows of a sheet are modules, so some chunks start within a software and some without.
+        kinds = "MM" + "".join(rng.choices("PSWM?-", [1, 2, 6, 60, 1, 1], k=200 if name != "e" else 0))
+        rows = sheet(spark, [HEADER] + [(serial[k], f"{name}{i}") for i, k in enumerate(kinds)], name)
+        table = rows if table is None else table.unionByName(rows)
+    result = flatten_hierarchy(table, F.col("source_id"), check=check, chunk_bits=5)
+    stored, keep = [], session.materialize
+
+    def kept(df):
+        stored.append(keep(df))
+        return stored[-1]
+
+    monkeypatch.setattr(flatten, "materialize", kept)
+    monkeypatch.setattr(sequence, "materialize", kept)
+    numbered = standard_records(result)
+    assert [df.count() for df in stored] == [4]
+    expected = result.records.orderBy("source_id", "row_number").collect()
+    assert len(expected) > 300
+    got = [tuple(r) for r in numbered.orderBy("input_seq").collect()]
+    assert got == [(*[r[c] for c in RECORD_COLUMNS], i) for i, r in enumerate(expected, 1)]

@@ -119,3 +119,21 @@ def test_even_spaces_stay_and_all_others_collapse(spark):
     assert column(spark, values, lambda df: text.collapse_spaces(F.col("v"))) == expected
     stripped = [v if v is None else v.strip() for v in values]
     assert column(spark, values, lambda df: text.strip_spaces(F.col("v"))) == stripped
+
+
+def test_ends_of_any_kind_of_space_are_stripped(spark):
+    """The usual spaces go first; a rare one between, before or behind them still goes."""
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    values = [f"{s} 　{t}a {s}名{t}\t{s}" for s in spaces for t in (spaces[0], " ")]
+    values += ["　", "~、", "\x7f ", "﻿ x", "名 "]
+    assert column(spark, values, lambda df: text.strip_spaces(F.col("v"))) == [v.strip() for v in values]
+    assert column(spark, values, lambda df: text.has_text(F.col("v"))) == [bool(v.strip()) for v in values]
+
+
+def test_values_without_need_of_python_come_back_as_they_are():
+    import pyarrow as pa
+
+    nothing = pa.nulls(3, pa.string())
+    assert text._per_distinct(nothing, None) is nothing
+    some = pa.array(["b", None, "a", "b"])
+    assert text._per_distinct(some, str.upper).to_pylist() == ["B", None, "A", "B"]
