@@ -6,14 +6,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinsheet.operators import grid, metric
+from kinsheet import session
+from kinsheet.operators import grid, metric, sequence
 from kinsheet.operators import vectors as vector_module
 from kinsheet.operators.objects import with_norm_name
 from kinsheet.operators.vectors import model_vectors
 from kinsheet.plans import similar as similar_module
-from kinsheet.plans.report import ordered_results
+from kinsheet.plans.report import ordered_results, result_table
 from kinsheet.plans.similar import find_similar
-from kinsheet.schemas import RECORD_COLUMNS, VECTOR_SCHEMA
+from kinsheet.schemas import RECORD_COLUMNS, RECORD_SCHEMA, VECTOR_SCHEMA
 
 OBJECT_FIELDS = (
     "level string, object_id string, obj_seq long, "
@@ -428,3 +429,46 @@ def test_far_stripes_never_meet(spark, two_sided):
     assert similar > 1000
     if not two_sided:
         assert [m for m in made if m[0] == "module"] == [("module", 0, 0)]
+
+
+NUMBERED = [
+    ({"mode": "within"}, 5),
+    ({"mode": "within", "include_unmatched": True}, 6),
+    ({"mode": "cross"}, 6),
+    ({"mode": "all", "include_unmatched": True}, 6),
+    ({"mode": "cross", "anchor_group": "B", "target_groups": ["A", "D"], "include_unmatched": True}, 6),
+]
+
+
+@pytest.mark.parametrize(("options", "stored_most"), NUMBERED)
+def test_results_are_numbered_while_narrow(spark, monkeypatch, options, stored_most):
+    """The same table as a sort of the results with both paths, none of which is stored."""
+    rng = random.Random(5)
+    names = [f"{w} {n}" for w in ("数据 评测", "plan of work", "x") for n in range(5)]
+    rows = [
+        (group, f"P{group}", f"p{group}", "S001", "s", f"SW{i}", rng.choice(names), f"M{m}" if m else "", "")
+        for group in "BADC"
+        for i in range(1, 7)
+        for m in range(3)
+    ]
+    software = {(r[0], r[5]): r[6] for r in rows if not r[7]}
+    data = [
+        (*r[:6], software[r[0], r[5]], f"{r[7]}{r[5]}" if r[7] else "", rng.choice(names) if r[7] else "", seq)
+        for seq, r in enumerate(rows)
+    ]
+    records = spark.createDataFrame(data, RECORD_SCHEMA)
+    options = {"threshold": 0.6, "top_k": 2, **options}
+    expected = result_table(similar_module.similarity_job(records, **options)[0]).collect()
+    stored, keep = [], session.materialize
+
+    def kept(df):
+        stored.append(df.columns)
+        return keep(df)
+
+    for module in (session, similar_module, sequence):
+        monkeypatch.setattr(module, "materialize", kept)
+    got = result_table(similar_module.similarity_job(records, numbered=True, **options)[0])
+    assert len(expected) > 20
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected))
+    assert len(stored) <= stored_most
+    assert not any({"a", "b", "platform_name"} & set(columns) for columns in stored)
